@@ -5,12 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlight.llm import language
 from tarnlight.llm import repeated_lines as rl
+from tarnlight.llm.boilerplate import FURNITURE, line_kinds
 from tarnlight.llm.shared_spans import shared_span_pairs
 from tarnlight.llm.splitting import split_oversized
 from tarnlight.session import table
 
 
+def p2_line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_kinds(table(spark, sf_dir, "documents"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_line_kinds(spark, sf_dir).where(F.col("kind") == FURNITURE).select("doc_id", "line_no").distinct()
+
+
+def p2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with the article's own lines only."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "raw_text")
+    return rl.without_lines(docs, p2_found(spark, sf_dir)).select("doc_id", F.col("raw_text").alias("main_text"), "lines_removed")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rl.repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no").distinct()
 
@@ -33,11 +49,31 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pieces(spark, sf_dir).where("n_pieces > 1").select("chunk_id").distinct()
 
 
+def p7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.line_languages(docs, language.fit_dictionaries(docs))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = p7_lines(spark, sf_dir)
+    wrong = F.col("label_lang").isNull() | (F.col("n_langs") > 1) | (F.col("label_lang") != F.col("lang"))
+    return lines.where(wrong).select("doc_id", "line_no", "lang").distinct()
+
+
+def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = p7_lines(spark, sf_dir)
+    return lines.groupBy("doc_id").agg(F.max("doc_lang").alias("lang"), F.max("doc_confidence").alias("confidence"), F.max("n_langs").alias("n_langs"), F.max("label_lang").alias("label_lang"))
+
+
+def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.segments(p7_lines(spark, sf_dir))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_span_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_cleaned": p3_cleaned, "p6_found": p6_found, "p6_pieces": p6_pieces, "p10_found": p10_found}
+QUERIES = {f.__name__: f for f in (p2_found, p2_line_kinds, p2_main_text, p3_found, p3_cleaned, p6_found, p6_pieces, p7_found, p7_lines, p7_documents, p7_segments, p10_found)}
 
 _CONTENT = r"regexp_replace(lower(line), '[^\p{L}\p{N}]+', '', 'g')"
 SQL = {
