@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from tarnlight.llm import language
 from tarnlight.llm import repeated_lines as rl
 from tarnlight.llm.boilerplate import FURNITURE, line_kinds
-from tarnlight.llm.shared_spans import shared_span_pairs
+from tarnlight.llm.mixing import mix
+from tarnlight.llm.packing import fill_report, pack
+from tarnlight.llm.shared_spans import sentence_spans, shared_amount, shared_span_pairs
 from tarnlight.llm.splitting import split_oversized
-from tarnlight.session import table
+from tarnlight.llm.tokens import token_counts
+from tarnlight.session import cut_lineage, table
 
 
 def p2_line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +76,55 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_span_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_line_kinds, p2_main_text, p3_found, p3_cleaned, p6_found, p6_pieces, p7_found, p7_lines, p7_documents, p7_segments, p10_found)}
+def p10_shared_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_amount(table(spark, sf_dir, "documents"))
+
+
+def p10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans(table(spark, sf_dir, "documents"))
+
+
+def _packed(spark: SparkSession, sf_dir: str, use: str) -> tuple[DataFrame, int]:
+    capacity = _limits(spark, sf_dir, use)[0]
+    return pack(token_counts(table(spark, sf_dir, "documents")), capacity), capacity
+
+
+def p8_packed_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir, "pack_short")[0]
+
+
+def p8_packed_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir, "pack_long")[0]
+
+
+def p8_fill_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(*_packed(spark, sf_dir, "pack_short"))
+
+
+def p8_fill_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(*_packed(spark, sf_dir, "pack_long"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    sized = cut_lineage(token_counts(docs))
+    keyed = docs.where("text is not null").select("doc_id", "source", F.md5(F.col("text")).alias("text_key")).join(sized, "doc_id")
+    return mix(keyed, table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1]
+
+
+_ALL = (
+    p2_found, p2_line_kinds, p2_main_text, p3_found, p3_cleaned, p6_found, p6_pieces, p7_found, p7_lines, p7_documents, p7_segments,
+    p8_packed_short, p8_packed_long, p8_fill_short, p8_fill_long, p9_mixture, p9_shares, p10_found, p10_shared_amount, p10_sentence_spans,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _CONTENT = r"regexp_replace(lower(line), '[^\p{L}\p{N}]+', '', 'g')"
 SQL = {

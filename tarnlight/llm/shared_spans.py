@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tarnlight.session import cut_lineage
 
@@ -225,3 +226,68 @@ def shared_span_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     same = ids.join(twice, "k")
     b = same.select("k", F.col("id").alias("ia")).join(same.select("k", F.col("id").alias("ib")), "k").where("ia < ib").select("ia", "ib")
     return a.unionByName(b).where("ia <> ib").select(F.least("ia", "ib").alias("doc_id_a"), F.greatest("ia", "ib").alias("doc_id_b")).distinct()
+
+
+def _gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every full span around the anchors that another text holds too."""
+    for b in batches:
+        texts, keys, wanted = b["text"].tolist(), b["k"].to_numpy(), b["hs"].tolist()
+        for index, shift, codes, owner, ends in _blocks(texts):
+            hashes = RunHashes(codes)
+            at, h = _anchors(hashes, ends)
+            starts = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1])
+            own = owner[at]
+            ok = np.zeros(len(at), dtype=bool)
+            for o in np.unique(own):
+                i = own == o
+                ok[i] = np.isin(h[i].view(np.int64), wanted[index[o]])
+            s = np.unique((at[ok][:, None] - np.arange(WINDOW)[None, :]).ravel())
+            s = s[s >= 0]
+            s = s[(s + SPAN <= len(codes))]
+            s = s[s + SPAN <= ends[s]]
+            o = owner[s]
+            yield pd.DataFrame({"g": hashes.at(s, SPAN).view(np.int64), "k": keys[index[o]], "pos": s + shift[o]})
+
+
+def shared_amount(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """-> (doc_id, n_chars, shared_chars): for each document how many of its characters lie in a span of at least SPAN
+    characters that another document holds as well. Null and short texts share nothing; a text with an equal one shares all."""
+    keyed = _keyed(docs, doc_id, text)
+    anchors = cut_lineage(keyed.select("k", "text").mapInPandas(_anchor_rows, "h long, k long"))
+    shared = anchors.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("h")
+    hits = anchors.join(shared, "h").groupBy("k").agg(F.collect_set("h").alias("hs"))
+    classes = keyed.groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    some = hits.join(classes.select("k", "id"), "k").select("id", "hs")
+    grams = cut_lineage(keyed.join(some, "id").select("k", "text", "hs").mapInPandas(_gram_rows, "g long, k long, pos long"))
+    both = grams.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("g")
+    held = grams.join(both, "g").select("k", "pos").distinct()
+    following = F.lead("pos").over(Window.partitionBy("k").orderBy("pos"))
+    covered = held.withColumn("c", F.least(F.lit(SPAN), F.coalesce(following - F.col("pos"), F.lit(SPAN)))).groupBy("k").agg(F.sum("c").alias("covered"))
+    per_text = classes.join(covered, "k", "left").select("k", "n", F.coalesce("covered", F.lit(0)).alias("covered"))
+    out = docs.select(F.col(doc_id), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"), F.xxhash64(text).alias("k"))
+    out = out.join(per_text, "k", "left")
+    amount = F.when(F.col("n_chars") < SPAN, F.lit(0)).when(F.col("n") > 1, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0)))
+    return out.select(doc_id, "n_chars", amount.cast("long").alias("shared_chars"))
+
+
+#: Where a sentence ends: after its mark and blanks, or at the end of the line.
+SENTENCE_END = r"(?<=[.!?…])\s+|(?<=[。！？；])|\n+"
+
+
+def sentence_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = 3) -> DataFrame:
+    """-> (doc_id, n_sentences, n_removed, removed_chars, kept_text): sentences covered by a repeated run of ``run``
+    consecutive sentences are removed, except where the run stands first (smallest doc_id, then position).
+
+    Runs are hashed and joined globally; texts of fewer sentences keep all. Null texts come out null with 0 sentences.
+    """
+    sentences = F.filter(F.split(F.col(text), SENTENCE_END, -1), lambda s: F.trim(s) != "")
+    some = docs.select(F.col(doc_id).alias("id"), sentences.alias("s"))
+    last = F.size("s") - run
+    runs = some.where(F.size("s") >= run).select("id", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_join(F.slice("s", i + 1, run), "\x1f")))).alias("pos", "h"))
+    first = runs.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first")).where("n > 1")
+    again = runs.join(first, "h").where((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")))
+    gone = again.select("id", F.explode(F.sequence(F.col("pos"), F.col("pos") + run - 1)).alias("at")).groupBy("id").agg(F.collect_set("at").alias("gone"))
+    x = some.join(gone, "id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    kept = F.filter("s", lambda s, i: ~F.array_contains("gone", i))
+    removed = F.aggregate(F.filter("s", lambda s, i: F.array_contains("gone", i)), F.lit(0), lambda a, s: a + F.length(s))
+    return x.select(F.col("id").alias(doc_id), F.coalesce(F.size("s"), F.lit(0)).alias("n_sentences"), F.size("gone").alias("n_removed"), F.coalesce(removed, F.lit(0)).alias("removed_chars"), F.array_join(kept, "\n").alias("kept_text"))
