@@ -39,6 +39,11 @@ NAMES = {
 }
 
 _letters = re.compile(r"[^\W\d_]")
+_han = re.compile(r"[㐀-鿿]")
+
+
+def han_share(text: str) -> float:
+    return 0.0 if text.isascii() else len(_han.findall(text)) / max(1, len(_letters.findall(text)))
 
 
 def named_language(label: Column) -> Column:
@@ -63,11 +68,18 @@ class Classifier:
         raw = text.encode("utf-8", "surrogatepass")
         return [len(c(raw)) for c in self.compress]
 
-    def best(self, sizes: list[int]) -> tuple[str | None, float]:
-        """(language, margin); a text that no language fits gives None."""
-        if not sizes:
-            return None, 0.0
+    def best(self, sizes: list[int], han: float | None = None) -> tuple[str | None, float]:
+        """(language, margin); no language gives None. han: the share of Han among the letters; none of it rules Chinese
+        out, more than half settles it."""
         order = sorted(range(len(sizes)), key=sizes.__getitem__)
+        if han is not None and "zh" in self.codes:
+            zh = self.codes.index("zh")
+            if han > 0.5:
+                return "zh", 1.0
+            if han < 0.02:
+                order.remove(zh)
+        if not order:
+            return None, 0.0
         low = sizes[order[0]]
         return self.codes[order[0]], (sizes[order[1]] - low) / low if len(order) > 1 else 1.0
 
@@ -82,25 +94,44 @@ def _classifier(dictionaries: dict[str, bytes]) -> Classifier:
     return _made[key]
 
 
-def fit_dictionaries(docs: DataFrame, text: str = "text", label: str = "lang", doc_id: str = "doc_id") -> dict[str, bytes]:
-    """One raw-content dictionary a language from at most PER_LANGUAGE labelled texts of 300 to SAMPLE_CHARS characters each."""
-    named = docs.where(F.length(text).between(300, SAMPLE_CHARS)).select(doc_id, named_language(F.col(label)).alias("code")).where("code is not null")
+def fit_dictionaries(docs: DataFrame, text: str = "text", label: str = "lang", doc_id: str = "doc_id", title: str = "title") -> dict[str, bytes]:
+    """One raw-content dictionary a language from at most PER_LANGUAGE labelled texts of 300 to SAMPLE_CHARS characters each,
+    with their titles."""
+    fits = F.length(text).between(300, SAMPLE_CHARS)
+    named = docs.where(fits).select(doc_id, named_language(F.col(label)).alias("code")).where("code is not null")
     order = W.partitionBy("code").orderBy(F.xxhash64(doc_id), doc_id)
     ids = [r[0] for r in named.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANGUAGE).select(doc_id).collect()]
-    rows = docs.where(F.col(doc_id).isin(ids)).where(F.length(text).between(300, SAMPLE_CHARS)).select(named_language(F.col(label)).alias("code"), F.col(text).alias("t")).where("code is not null").collect()
-    halves: list[dict[str, list[str]]] = [{}, {}]
-    for i, (code, t) in enumerate(sorted(map(tuple, rows))):
-        halves[i % 2].setdefault(code, []).extend(x.strip() for x in t.split("\n") if len(_letters.findall(x)) >= 40)
-    packed = lambda h: {c: "\n".join(dict.fromkeys(x)).encode()[-DICTIONARY_BYTES:] for c, x in h.items() if x}
-    kept: dict[str, list[str]] = {}
+    rows = docs.where(F.col(doc_id).isin(ids) & fits).select(named_language(F.col(label)).alias("code"), F.col(text).alias("t"), F.coalesce(F.col(title), F.lit("")).alias("h")).where("code is not null").collect()
+    return dictionaries_of([(r.code, r.t, r.h) for r in rows])
+
+
+def dictionaries_of(rows: list[tuple[str, str, str]]) -> dict[str, bytes]:
+    """Dictionaries from (language, text, title), cleaned by cross-fitting; titles go last, where references are cheapest."""
+    texts: list[dict[str, list[str]]] = [{}, {}]
+    titles: list[dict[str, list[str]]] = [{}, {}]
+    for i, (code, t, h) in enumerate(sorted(rows)):
+        texts[i % 2].setdefault(code, []).extend(x.strip() for x in t.split("\n") if len(_letters.findall(x)) >= 40)
+        titles[i % 2].setdefault(code, []).append(h.strip())
+
+    def packed(t: dict[str, list[str]], h: dict[str, list[str]]) -> dict[str, bytes]:
+        out = {}
+        for c, x in t.items():
+            tail = "\n".join(dict.fromkeys(h.get(c, []))).encode()[-DICTIONARY_BYTES // 3 :]
+            body = "\n".join(dict.fromkeys(x)).encode()[-(DICTIONARY_BYTES - len(tail)) :]
+            if body or tail:
+                out[c] = body + b"\n" + tail
+        return out
+
+    kept: list[dict[str, list[str]]] = [{}, {}]
     for mine, other in ((0, 1), (1, 0)):
-        judge = Classifier(packed(halves[other]))
-        for code, lines in halves[mine].items():
-            for x in dict.fromkeys(lines):
-                got, margin = judge.best(judge.sizes(x))
-                if got == code and margin >= 0.05:
-                    kept.setdefault(code, []).append(x)
-    return packed(kept or halves[0])
+        judge = Classifier(packed(texts[other], {}))
+        for which, pool in enumerate((texts[mine], titles[mine])):
+            for code, lines in pool.items():
+                for x in dict.fromkeys(lines):
+                    got, margin = judge.best(judge.sizes(x), han_share(x))
+                    if x and got == code and margin >= 0.05:
+                        kept[which].setdefault(code, []).append(x)
+    return packed(*kept) or packed(texts[0], titles[0])
 
 
 def classify_lines(lines: list[str], judge: Classifier) -> tuple[list[tuple[str | None, float]], str | None, float]:
@@ -112,7 +143,7 @@ def classify_lines(lines: list[str], judge: Classifier) -> tuple[list[tuple[str
     sizes = [judge.sizes(x) for x in lines]
     if not sizes:
         return [], None, 0.0
-    per_line = [judge.best(s) for s in sizes]
+    per_line = [judge.best(s, han_share(x)) for s, x in zip(sizes, lines)]
     weight: Counter = Counter()
     for (code, margin), s in zip(per_line, sizes):
         weight[code] += min(s) if margin >= NARROW else 0
@@ -121,7 +152,7 @@ def classify_lines(lines: list[str], judge: Classifier) -> tuple[list[tuple[str
     main = max(weight, key=lambda c: (weight[c], c == whole)) if weight and max(weight.values()) > 0 else whole
     out = []
     for (code, margin), s in zip(per_line, sizes):
-        if code != main and margin < CONTRADICT:
+        if code != main and margin < CONTRADICT and (main != "zh" or code is None):
             code, margin = main, 0.0
         out.append((code, margin / (1 + margin)))
     share = weight[main] / max(1, sum(weight.values()))
