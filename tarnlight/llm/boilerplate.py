@@ -20,9 +20,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnlight.session import cut_lineage
+
 SALTS = 16
 MIN_PAGES, LONG_LETTERS, MIN_PAGES_LONG = 3, 80, 8
 #: Weight from which on a line is running text whatever its ending.
@@ -43,44 +46,65 @@ _edge = re.compile(r"^[\s*•|>»·\-]+|[\s|>»·:]+$")
 _letter = re.compile(r"[^\W\d_]")
 
 
-def line_key(line: Column) -> Column:
-    """What identifies furniture: letters only; rows of three or more numbers keep their digits."""
-    low = F.lower(line)
-    rows = F.regexp_count(low, F.lit(r"\d[\d.,]*")) >= 3
-    return F.when(rows, F.regexp_replace(low, r"[^\p{L}\p{N}]+", "")).otherwise(F.regexp_replace(low, r"[^\p{L}]+", ""))
+_not_letters = re.compile(r"[^\w\n]+|[\d_]+")
+_not_content = re.compile(r"[\W_]+")
+NO_KEY, LONG, AFTER = 0, 1, 2
+
+
+def line_marks(text: str, title: str | None) -> tuple[list[int], list[int], list[int]]:
+    """Per line of a page the hash of its key (what identifies furniture: letters only, but rows of three or more
+    numbers keep their digits), the hash of the key of its part before a colon, and LONG + AFTER bits: many letters;
+    follows the title."""
+    low = text.lower()
+    lines = low.split("\n")
+    keys = _not_letters.sub("", low).split("\n")
+    head = title.strip().lower() if title else None
+    hs, leads, bits = [], [], []
+    above = ""
+    for line, key in zip(lines, keys):
+        if not key and not line.strip():
+            hs.append(NO_KEY)
+            leads.append(NO_KEY)
+            bits.append(0)
+            continue
+        full = key
+        if len(line) < 4 * len(key) + 40 and any(map(str.isdigit, line)) and len(_numbers.findall(line)) >= 3:
+            full = _not_content.sub("", line)
+        lead = NO_KEY
+        at = line.find(":", 0, 62) if ":" in line else line.find("：", 0, 62) if "：" in line else -1
+        if 3 <= at <= 60 and len(line) > at + 8:
+            part = _not_letters.sub("", line[:at])
+            lead = _hash(part) if part else NO_KEY
+        hs.append(_hash(full) if full else NO_KEY)
+        leads.append(lead)
+        bits.append((LONG if len(full) >= LONG_LETTERS else 0) + (AFTER if head and above == head else 0))
+        above = line.strip()
+    return hs, leads, bits
 
 
-def _hashes(text: Column, title: Column) -> Column:
-    """Per line (key, key of the part before a colon, follows the headline)."""
-    lines = F.split(text, "\n", -1)
-    head = F.lower(F.trim(title))
+def _hash(x: str) -> int:
+    h = xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
-    def one(x: Column, i: Column) -> Column:
-        key = line_key(x)
-        before = F.substring_index(F.regexp_replace(x, "：", ":"), ":", 1)
-        lead = F.when(F.length(before).between(3, 60) & (F.length(x) > F.length(before) + 8), line_key(before))
-        up = lambda k: F.lower(F.trim(F.regexp_replace(F.get(lines, i - k), r"[\r\t]", "")))
-        after = F.coalesce((up(1) == head) | ((up(1) == "") & (up(2) == head)), F.lit(False))
-        return F.struct(
-            F.when(key != "", F.xxhash64(key)).alias("h"), F.when(lead != "", F.xxhash64(lead)).alias("lead"),
-            (F.length(key) >= LONG_LETTERS).alias("long"), after.alias("after"),
-        )
 
-    return F.transform(lines, one)
+def _mark_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        marks = [line_marks(t, h) for t, h in zip(b["t"], b["h"])]
+        yield pd.DataFrame({"doc": b["doc"], "src": b["src"], "hs": [m[0] for m in marks], "leads": [m[1] for m in marks], "bits": [m[2] for m in marks]})
 
 
 def furniture_flags(docs: DataFrame, doc_id: str, source: str, text: str, title: str) -> DataFrame:
     """(doc, flags): per document line_no * 4 + kind of its lines that recur in the source; kind 1: the line recurs,
     2: it recurs below headlines, 3: its part before a colon recurs."""
-    some = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.xxhash64(F.coalesce(F.col(source), F.lit(""))).alias("src"), _hashes(F.col(text), F.col(title)).alias("ls"))
-    once = some.select("src", F.explode(F.array_distinct(F.transform("ls", lambda x: F.struct(x["h"].alias("h"), x["long"].alias("long"), x["after"].alias("after"))))).alias("x"))
-    counts = once.where("x.h is not null").groupBy("src", F.col("x.h").alias("h")).agg(F.count("*").alias("k"), F.count_if("x.after").alias("k_after"), F.max("x.long").alias("long"))
-    often = counts.where(F.col("k") >= F.when(F.col("long"), MIN_PAGES_LONG).otherwise(MIN_PAGES))
+    some = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.xxhash64(F.coalesce(F.col(source), F.lit(""))).alias("src"), F.col(text).alias("t"), F.col(title).alias("h"))
+    marked = cut_lineage(some.mapInPandas(_mark_rows, "doc long, src long, hs array<long>, leads array<long>, bits array<int>"))
+    once = marked.select("src", F.explode(F.array_distinct(F.arrays_zip("hs", "bits"))).alias("x")).where(F.col("x.hs") != NO_KEY)
+    counts = once.groupBy("src", F.col("x.hs").alias("h")).agg(F.count("*").alias("k"), F.count_if(F.col("x.bits") >= AFTER).alias("k_after"), F.max(F.col("x.bits") % AFTER).alias("long"))
+    often = counts.where(F.col("k") >= F.when(F.col("long") == LONG, MIN_PAGES_LONG).otherwise(MIN_PAGES))
     often = often.select("src", "h", F.when(F.col("k_after") >= BYLINE_SHARE * F.col("k"), 2).otherwise(1).alias("kind"))
     often = often.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    lines = some.select("doc", "src", F.posexplode("ls").alias("no", "x"))
-    asked = lines.select("doc", "src", F.explode(F.array(F.struct(F.col("x.h").alias("h"), F.col("no").alias("at")), F.struct(F.col("x.lead").alias("h"), (-F.col("no") - 1).alias("at")))).alias("y"))
-    asked = asked.where("y.h is not null").select("doc", "src", "y.h", "y.at", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt"))
+    keyed = lambda c, at: marked.select("doc", "src", F.posexplode(c).alias("no", "h")).where(F.col("h") != NO_KEY).select("doc", "src", "h", at.alias("at"))
+    asked = keyed("hs", F.col("no")).unionByName(keyed("leads", -F.col("no") - 1)).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
     hit = asked.join(often, ["src", "h", "salt"])
     flag = F.when(F.col("at") >= 0, F.col("at") * 4 + F.col("kind")).otherwise((-F.col("at") - 1) * 4 + 3)
     return hit.groupBy("doc").agg(F.collect_set(flag.cast("int")).alias("flags"))
