@@ -12,6 +12,7 @@ offset from before the change.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from zoneinfo import available_timezones
 
 from pyspark.sql import Column, DataFrame
@@ -58,40 +59,51 @@ def canonical(text: Column) -> Column:
     return out
 
 
-def with_utc_micros(df: DataFrame, text: str, home_zone: str, to: str, default_zone: str = "UTC") -> DataFrame:
-    """Adds column ``to``: microseconds since 1970 UTC of the date string in column ``text``, cut to what
-    is written; null if it denotes nothing (null, empty, words, impossible dates, unlisted abbreviations).
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value in the expression once, however often then uses it. Chained projections don't do: a
+    filter on the result is pushed through them and multiplies the expression."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    Column home_zone is the zone of strings without one; where it is null or no known zone, default_zone. A
-    bare date is its local midnight. The fields are laid out in steps, one projection each, so that the cascade
-    is evaluated once per row. Columns named _tl_* are taken.
-    """
-    at = lambda i: F.nullif(F.get("_tl_f", F.lit(i)), F.lit(""))
+
+def _fields(part: Column, home_zone: Column, default_zone: str) -> Column:
+    """The canonical fields as numbers; zone stays text."""
+    at = lambda i: F.nullif(F.get(part, F.lit(i)), F.lit(""))
     frac = lambda c: F.coalesce(F.rpad(c, 6, "0").try_cast("long"), F.lit(0))
-    df = df.withColumn("_tl_f", F.split(canonical(F.col(text)), r"\|", -1))
+    whole = lambda c: F.coalesce(c.try_cast("int"), F.lit(0))
     month = F.coalesce(at(1).try_cast("int"), F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(at(1))).cast("int"), F.lit(0)))
-    df = df.withColumns({
-        "_tl_epoch": F.when(at(0) == "E", at(1).try_cast("long") * 1_000_000 + frac(at(2))),
-        "_tl_date": F.try_to_date(F.concat_ws("-", F.lpad(at(0), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(at(2), 2, "0")), "yyyy-MM-dd"),
-        "_tl_h": F.coalesce(at(3).try_cast("int"), F.lit(0)),
-        "_tl_m": F.coalesce(at(4).try_cast("int"), F.lit(0)),
-        "_tl_s": F.coalesce(at(5).try_cast("int"), F.lit(0)),
-        "_tl_us": frac(at(6)),
-        "_tl_half": F.lower(at(7)),
-        "_tl_zone": F.upper(at(8)),
-    })
-    half, hour, zone = F.col("_tl_half"), F.col("_tl_h"), F.col("_tl_zone")
+    date = F.try_to_date(F.concat_ws("-", F.lpad(at(0), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(at(2), 2, "0")), "yyyy-MM-dd")
+    return F.struct(
+        F.when(at(0) == "E", at(1).try_cast("long") * 1_000_000 + frac(at(2))).alias("epoch"), F.unix_date(date).cast("long").alias("day"),
+        whole(at(3)).alias("h"), whole(at(4)).alias("m"), whole(at(5)).alias("s"), frac(at(6)).alias("us"), F.lower(at(7)).alias("half"), F.upper(at(8)).alias("zone"),
+        F.when(home_zone.isin(*sorted(available_timezones())), home_zone).otherwise(F.lit(default_zone)).alias("home"),
+    )
+
+
+def _instant(f: Column) -> Column:
+    half, hour, zone = f["half"], f["h"], f["zone"]
     hour24 = F.when(half.isNull(), F.when(hour <= 23, hour)).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
-    clock = F.when((F.col("_tl_m") <= 59) & (F.col("_tl_s") <= 59), hour24 * 3600 + F.col("_tl_m") * 60 + F.col("_tl_s"))
+    clock = F.when((f["m"] <= 59) & (f["s"] <= 59), hour24 * 3600 + f["m"] * 60 + f["s"])
+    local = f["day"] * 86_400_000_000 + clock.cast("long") * 1_000_000 + f["us"]
     digits = F.regexp_replace(zone, "[^0-9]", "")
     off_h, off_m = F.substring(digits, 1, 2).try_cast("int"), F.coalesce(F.nullif(F.substring(digits, 3, 2), F.lit("")).try_cast("int"), F.lit(0))
     lookup = lambda m: F.element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), zone)
-    home = F.when(F.col(home_zone).isin(*sorted(available_timezones())), F.col(home_zone)).otherwise(F.lit(default_zone))
-    df = df.withColumns({
-        "_tl_local": F.unix_date("_tl_date").cast("long") * 86_400_000_000 + clock.cast("long") * 1_000_000 + F.col("_tl_us"),
-        "_tl_off": F.when(zone.rlike(r"^[+-]"), F.when((off_h <= 18) & (off_m <= 59), F.when(zone.startswith("-"), -1).otherwise(1) * (off_h * 60 + off_m))).otherwise(lookup(FIXED_OFFSETS)),
-        "_tl_place": F.when(zone.isNull(), home).otherwise(lookup(WALL_CLOCKS)),
-    })
-    zoned = F.when(F.col("_tl_place").isNotNull(), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("_tl_local"), F.col("_tl_place"))))
-    out = F.coalesce("_tl_epoch", F.when(F.col("_tl_place").isNull(), F.col("_tl_local") - F.col("_tl_off").cast("long") * 60_000_000).otherwise(zoned))
-    return df.withColumn(to, out).drop(*[c for c in df.columns if c.startswith("_tl_")])
+    written = F.when((off_h <= 18) & (off_m <= 59), F.when(zone.startswith("-"), -1).otherwise(1) * (off_h * 60 + off_m))
+    offset = F.when(zone.rlike(r"^[+-]"), written).otherwise(lookup(FIXED_OFFSETS))
+    place = F.when(zone.isNull(), f["home"]).otherwise(lookup(WALL_CLOCKS))
+
+    def settle(g: Column) -> Column:
+        zoned = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(g["local"]), g["place"]))
+        return F.when(g["place"].isNotNull(), zoned).otherwise(g["local"] - g["offset"].cast("long") * 60_000_000)
+
+    return F.coalesce(f["epoch"], _let(F.struct(local.alias("local"), offset.alias("offset"), place.alias("place")), settle))
+
+
+def with_utc_micros(df: DataFrame, text: str, home_zone: str, to: str, default_zone: str = "UTC") -> DataFrame:
+    """Adds column ``to``: microseconds since 1970 UTC of the date string in column ``text``, cut to what
+    is written; null if it denotes nothing (null, empty, words, impossible dates, unlisted abbreviations).
+
+    Column home_zone is the zone of strings without one; where it is null or no known zone, default_zone. A
+    bare date is its local midnight. Other columns stay as they are.
+    """
+    home = F.col(home_zone)
+    return df.withColumn(to, _let(F.split(canonical(F.col(text)), r"\|", -1), lambda p: _let(_fields(p, home, default_zone), _instant)))
