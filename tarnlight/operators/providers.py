@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnlight.functions import text as X
 
@@ -44,7 +45,7 @@ def extract(chunks: DataFrame, provider: Provider, text: str = "text", fallback:
                 replies = [f"error: {e}"] * len(b)
             yield b.assign(_reply=replies)
 
-    schema = chunks.schema.add("_reply", "string")
+    schema = T.StructType([*chunks.schema.fields, T.StructField("_reply", T.StringType())])
     out = chunks.mapInPandas(run, schema).withColumn("reply", X.json_object(F.col("_reply"), REPLY)).drop("_reply")
     unit = lambda c: F.col(f"reply.{c}").isNull() | F.col(f"reply.{c}").between(0, 1)
     bounded = unit("credibility") & unit("novelty") & unit("breadth") & unit("persistence") & unit("crowding") & unit("price_confirmation") & unit("confidence")

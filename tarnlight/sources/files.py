@@ -207,7 +207,7 @@ def listing_links(pages: DataFrame, html: str, contains: str, title_chars: tuple
     """Links of listing pages: (url, title, dated), one row per url, newest first. dated is the first ISO date in url or title."""
     pattern = r"""(?is)<a\b[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
     hits = F.arrays_zip(F.regexp_extract_all(F.col(html), F.lit(pattern), 1).alias("u"), F.regexp_extract_all(F.col(html), F.lit(pattern), 2).alias("t"))
-    x = pages.select(F.explode(hits).alias("x")).select(F.col("x.u").alias("url"), F.trim(F.regexp_replace("x.t", r"<[^>]*>|\s+", " ")).alias("title"))
+    x = pages.select(F.explode(hits).alias("x")).select(F.col("x.u").alias("url"), F.trim(F.regexp_replace(F.regexp_replace("x.t", r"<[^>]*>", " "), r"\s+", " ")).alias("title"))
     x = x.where(F.col("url").contains(contains) & F.length("title").between(*title_chars))
     date = F.try_to_date(F.regexp_extract(F.concat_ws(" ", "url", "title"), r"(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
     return x.groupBy("url").agg(F.min("title").alias("title")).withColumn("dated", date).orderBy(F.desc_nulls_last("dated"), "url")
