@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tarnlight.session import cut_lineage
+
 BIN_US = 3_600_000_000
 
 
@@ -95,7 +97,6 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     empty = pd.DataFrame({"event_id": np.array([], "int64"), "fact_id": np.array([], "int64")})
     if not len(fact) or not len(event):
         return empty
-    valid = pdf["valid"].to_numpy(dtype="float64", na_value=np.nan)[fact]
     valid = pdf["valid"].iloc[fact].astype("int64").to_numpy()
     known = pdf["known"].iloc[fact].astype("int64").to_numpy()
     order = np.lexsort((-row_id[fact], known))  # of equal times the smallest id is the last version
@@ -123,25 +124,20 @@ def known_asof(facts: DataFrame, events: DataFrame, shard_rows: int = 200_000) -
     Rows with a null entity, time or id match nothing. Equal (ent, valid, known) keep the smallest id.
     Events without a usable fact give no row; repeated event rows give one row each.
     """
-    f = (
-        facts.select("ent", F.col("valid").cast("long"), F.col("known").cast("long"), F.col("fact_id").cast("long"))
-        .dropna()
-        .groupBy("ent", "valid", "known")
-        .agg(F.min("fact_id").alias("row_id"))
-        .select("ent", F.greatest("valid", "known").alias("t"), F.lit(False).alias("is_event"), "valid", "known", "row_id")
-    )
-    e = (
-        events.select("ent", F.col("t").cast("long"), F.col("event_id").cast("long").alias("row_id"))
-        .dropna()
-        .select("ent", "t", F.lit(True).alias("is_event"), F.lit(None).cast("long").alias("valid"), F.lit(None).cast("long").alias("known"), "row_id")
-    )
-    rows = f.unionByName(e).withColumn("bin", F.expr(f"t div {BIN_US}"))
-    # One row per entity and hour that occurs; only entities above shard_rows keep theirs.
-    bins = rows.groupBy("ent", "bin").agg(F.count("*").alias("n"), F.count_if("is_event").alias("n_ev"))
-    bins = bins.join(bins.groupBy("ent").agg(F.sum("n").alias("n_ent")).where(F.col("n_ent") > shard_rows).select("ent"), "ent", "left_semi")
+    times = lambda df, *c: df.select("ent", *[F.col(x).cast("long").alias(x) for x in c]).dropna()
+    facts, events = times(facts, "valid", "known", "fact_id"), times(events, "t", "event_id")
+    usable = facts.select("ent", F.greatest("valid", "known").alias("t"), F.lit(0).alias("ev")).unionByName(events.select("ent", "t", F.lit(1).alias("ev")))
+    # Entities above shard_rows, and for them alone a histogram of hours. Both are pre-aggregated before they are shuffled.
+    hot = usable.groupBy("ent").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows).select("ent")
+    bins = usable.join(hot, "ent", "left_semi").groupBy("ent", F.expr(f"t div {BIN_US}").alias("bin")).agg(F.count("*").alias("n"), F.sum("ev").alias("n_ev"))
     bins = bins.withColumn("shard", F.expr(f"(sum(n) OVER (PARTITION BY ent ORDER BY bin) - n) div {shard_rows} + 1"))
     bins = bins.withColumn("salts", F.expr(f"greatest(1, (sum(n_ev) OVER (PARTITION BY ent, shard)) div {4 * shard_rows} + 1)")).select("ent", "bin", "shard", "salts")
-    placed = rows.join(bins, ["ent", "bin"], "left").drop("bin").fillna({"shard": 0, "salts": 1})
+    f = facts.groupBy("ent", "valid", "known").agg(F.min("fact_id").alias("row_id"))
+    f = f.select("ent", F.greatest("valid", "known").alias("t"), F.lit(False).alias("is_event"), "valid", "known", "row_id")
+    none = F.lit(None).cast("long")
+    e = events.select("ent", "t", F.lit(True).alias("is_event"), none.alias("valid"), none.alias("known"), F.col("event_id").alias("row_id"))
+    placed = f.unionByName(e).withColumn("bin", F.expr(f"t div {BIN_US}")).join(bins, ["ent", "bin"], "left").drop("bin").fillna({"shard": 0, "salts": 1})
+    placed = cut_lineage(placed)
     # What each later shard of a cut entity inherits: the best fact of all earlier ones.
     best = placed.where("shard > 0").groupBy("ent", "shard").agg(
         F.max(F.when(~F.col("is_event"), F.struct("valid", "known", (-F.col("row_id")).alias("neg")))).alias("b"), F.max("salts").alias("salts")
@@ -150,9 +146,8 @@ def known_asof(facts: DataFrame, events: DataFrame, shard_rows: int = 200_000) -
     carried = best.select("ent", F.greatest("b.valid", "b.known").alias("t"), F.lit(False).alias("is_event"), "b.valid", "b.known", (-F.col("b.neg")).alias("row_id"), "shard", "salts")
     every = placed.unionByName(carried)
     every = every.withColumn("salt", F.explode(F.when(F.col("is_event"), F.array(F.pmod(F.xxhash64("row_id"), F.col("salts")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1))))
-    total = facts.count() + events.count()
-    cold = max(1, -(-4 * total // shard_rows))
-    group = F.when(F.col("shard") > 0, F.concat_ws("\x01", "ent", "shard", "salt")).otherwise(F.concat(F.lit("\x02"), F.pmod(F.xxhash64("ent"), F.lit(cold))))
+    cold = max(1, -(-4 * placed.count() // shard_rows))
+    group = F.when(F.col("shard") > 0, F.xxhash64("ent", "shard", "salt")).otherwise(F.pmod(F.xxhash64("ent"), F.lit(cold)))
     return (
         every.select(group.alias("grp"), "ent", "t", "is_event", "valid", "known", "row_id")
         .groupBy("grp")
