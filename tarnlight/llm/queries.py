@@ -135,4 +135,22 @@ WITH l AS (SELECT doc_id, source_id, unnest(string_split(raw_text, chr(10))) AS
  r AS (SELECT source_id, content FROM c WHERE content <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5)
 SELECT DISTINCT doc_id, line_no FROM c JOIN r USING (source_id, content)""",
     "p6_found": "SELECT DISTINCT chunk_id FROM chunks WHERE greatest(1, floor(length(text) / 4.0)) > 450",
+    "p3_cleaned": f"""
+WITH l AS (SELECT doc_id, source_id, unnest(string_split(raw_text, chr(10))) AS line, unnest(range(len(string_split(raw_text, chr(10))))) AS line_no FROM documents WHERE raw_text IS NOT NULL),
+ c AS (SELECT doc_id, source_id, line, line_no, {_CONTENT} AS content FROM l),
+ r AS (SELECT source_id, content FROM c WHERE content <> '' AND source_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5),
+ k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) FILTER (r.content IS NULL) AS t, count(r.content) AS n, count(*) AS m FROM c LEFT JOIN r USING (source_id, content) GROUP BY 1)
+SELECT doc_id, CASE WHEN raw_text IS NULL THEN NULL ELSE coalesce(t, '') END AS raw_text, CAST(coalesce(n, 0) AS INTEGER) AS lines_removed FROM documents LEFT JOIN k USING (doc_id)""",
+    "p10_found": """
+WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 240),
+ g AS (SELECT DISTINCT doc_id, hash(substr(text, CAST(i AS INTEGER), 240)) AS h FROM (SELECT doc_id, text, unnest(range(1, n - 238)) AS i FROM d)),
+ s AS (SELECT h FROM g GROUP BY 1 HAVING count(*) > 1), x AS (SELECT * FROM g JOIN s USING (h))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p10_shared_amount": """
+WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 240),
+ g AS (SELECT doc_id, i, hash(substr(text, CAST(i AS INTEGER), 240)) AS h FROM (SELECT doc_id, text, unnest(range(1, n - 238)) AS i FROM d)),
+ s AS (SELECT h FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+ c AS (SELECT doc_id, least(240, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 240)) AS w FROM g JOIN s USING (h)),
+ t AS (SELECT doc_id, sum(w) AS shared FROM c GROUP BY 1)
+SELECT doc_id, coalesce(length(text), 0) AS n_chars, CAST(coalesce(shared, 0) AS BIGINT) AS shared_chars FROM documents LEFT JOIN t USING (doc_id)""",
 }
