@@ -278,9 +278,19 @@ def w02(spark, d):
     return R.recursive_indicators(bars(Tables(spark, d))).select("symbol", day("d").alias("d"), F.round("atr", 2).alias("atr"))
 
 
-@q("W03_adx")
+_IND = f"""{BARS}, r AS (SELECT *, row_number() OVER w AS i, greatest(close - lag(close) OVER w, 0) AS gain, greatest(lag(close) OVER w - close, 0) AS loss,
+ greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(low - lag(close) OVER w), 0)) AS tr, high - lag(high) OVER w AS up, lag(low) OVER w - low AS dn FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d)),
+m AS (SELECT *, CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END AS pm, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS mm FROM r),
+ind AS (SELECT symbol, i, d, tr AS atr, NULL::DOUBLE AS u, NULL::DOUBLE AS v, NULL::DOUBLE AS p, NULL::DOUBLE AS q, NULL::DOUBLE AS adx FROM m WHERE i = 1
+ UNION ALL SELECT symbol, i, d, atr, u, v, p, q, coalesce(adx * 13 / 14 + dx / 14, dx, adx) FROM (SELECT m.symbol, m.i, m.d, s.atr * 13 / 14 + m.tr / 14 AS atr, coalesce(s.u * 13 / 14 + m.gain / 14, m.gain) AS u, coalesce(s.v * 13 / 14 + m.loss / 14, m.loss) AS v,
+ coalesce(s.p * 13 / 14 + m.pm / 14, m.pm) AS p, coalesce(s.q * 13 / 14 + m.mm / 14, m.mm) AS q, s.adx,
+ 100 * abs(coalesce(s.p * 13 / 14 + m.pm / 14, m.pm) - coalesce(s.q * 13 / 14 + m.mm / 14, m.mm)) / nullif(coalesce(s.p * 13 / 14 + m.pm / 14, m.pm) + coalesce(s.q * 13 / 14 + m.mm / 14, m.mm), 0) AS dx
+ FROM ind s JOIN m ON m.symbol = s.symbol AND m.i = s.i + 1))"""
+
+
+@q("W03_adx", f"WITH RECURSIVE {_IND} SELECT symbol, CAST(d AS VARCHAR) AS d, round(coalesce(adx, 0), 3) AS adx FROM ind")
 def w03(spark, d):
-    return R.recursive_indicators(bars(Tables(spark, d))).select("symbol", day("d").alias("d"), r4("adx").alias("adx"))
+    return R.recursive_indicators(bars(Tables(spark, d))).select("symbol", day("d").alias("d"), F.round("adx", 3).alias("adx"))
 
 
 @q("W07_macd", f"WITH RECURSIVE {BARS}, r AS (SELECT symbol, d, close, row_number() OVER (PARTITION BY symbol ORDER BY d) AS i FROM bars), s AS (SELECT symbol, i, d, close AS f, close AS g, CAST(0 AS DOUBLE) AS sig FROM r WHERE i = 1 UNION ALL SELECT r.symbol, r.i, r.d, s.f + (r.close - s.f) * 2 / 13, s.g + (r.close - s.g) * 2 / 27, s.sig * 0.8 + 0.2 * ((s.f + (r.close - s.f) * 2 / 13) - (s.g + (r.close - s.g) * 2 / 27)) FROM s JOIN r ON r.symbol = s.symbol AND r.i = s.i + 1) SELECT symbol, CAST(d AS VARCHAR) AS d, round(f - g, 2) AS macd, round(f - g - sig, 2) AS macd_hist FROM s")
@@ -288,7 +298,17 @@ def w07(spark, d):
     return R.recursive_indicators(bars(Tables(spark, d))).select("symbol", day("d").alias("d"), F.round("macd", 2).alias("macd"), F.round("macd_hist", 2).alias("macd_hist"))
 
 
-@q("W09_W10_regimes")
+_REG = f"""{_IND}, a AS (SELECT b.symbol, b.d, b.close, ind.adx, ind.atr, 100 * u / (u + v) AS rsi, CASE WHEN count(*) OVER w50 >= 50 THEN avg(close) OVER w50 END AS sma,
+ CASE WHEN count(*) OVER w20 >= 20 AND stddev_pop(close) OVER w20 > 0 THEN (close - avg(close) OVER w20 + 2 * stddev_pop(close) OVER w20) / (4 * stddev_pop(close) OVER w20) ELSE 0.5 END AS pctb,
+ CASE WHEN count(*) OVER w60 >= 20 THEN ind.atr / nullif(avg(ind.atr) OVER w60, 0) END AS atr_ratio FROM bars b JOIN ind ON ind.symbol = b.symbol AND ind.d = b.d
+ WINDOW w50 AS (PARTITION BY b.symbol ORDER BY b.d ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), w20 AS (PARTITION BY b.symbol ORDER BY b.d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), w60 AS (PARTITION BY b.symbol ORDER BY b.d ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+t AS (SELECT *, coalesce(sma - lag(sma, 5) OVER (PARTITION BY symbol ORDER BY d) >= 0, false) AS rising, coalesce(close > sma, false) AS above, coalesce(adx, 0) >= 20 AS trend FROM a),
+g AS (SELECT *, list_filter([CASE WHEN atr_ratio > 1.5 THEN 'shock' END, CASE WHEN rsi > 75 OR pctb > 1 THEN 'stretched_up' END, CASE WHEN rsi < 25 OR pctb < 0 THEN 'stretched_down' END, CASE WHEN trend AND above AND rising THEN 'trend_up' END,
+ CASE WHEN trend AND NOT above AND NOT rising THEN 'trend_down' END, CASE WHEN NOT (trend AND above AND rising) AND NOT (trend AND NOT above AND NOT rising) THEN 'range' END], lambda x: x IS NOT NULL) AS tags FROM t),
+h AS (SELECT *, CASE WHEN lag(tags[1]) OVER (PARTITION BY symbol ORDER BY d) = tags[1] THEN 0 ELSE 1 END AS nw FROM g), k AS (SELECT *, sum(nw) OVER (PARTITION BY symbol ORDER BY d) AS island FROM h)"""
+
+
+@q("W09_W10_regimes", f"WITH RECURSIVE {_REG} SELECT symbol, CAST(d AS VARCHAR) AS d, array_to_string(tags, ',') AS tags, tags[1] AS primary, CAST(row_number() OVER (PARTITION BY symbol, island ORDER BY d) AS INTEGER) AS streak, round(atr_ratio, 4) AS atr_ratio FROM k")
 def w10(spark, d):
     x = R.regimes(bars(Tables(spark, d)))
     return x.select("symbol", day("d").alias("d"), F.array_join("tags", ",").alias("tags"), "primary", "streak", r4("atr_ratio").alias("atr_ratio"))
