@@ -8,17 +8,20 @@ from pyspark.sql.window import Window as W
 
 
 def asof(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:
-    """left with the values of the latest right row of the same key at or before left_time (null if none).
+    """left with the values of the latest right row of the same key at or before left_time (null if none; of equal times
+    the largest values).
 
-    Both sides are united and swept once per key: no pairs are made. Meant for keys whose series are bounded by the
-    calendar; ``known_asof`` is the operator for keys of any size and two times. Columns named _asof* are taken.
+    The distinct times of both sides are united and swept once per key, then left takes its answers by an equi-join: no pairs
+    are made, and a window holds a key's distinct times, however many left rows share them. ``known_asof`` is the operator for keys
+    of any size and two times. Columns named _asof* are taken.
     """
-    r = right.groupBy(by, F.col(right_time).alias("_asof_t")).agg(F.max(F.struct(*values)).alias("_asof_v"))
-    a = left.withColumns({"_asof_t": F.col(left_time), "_asof_l": F.lit(1), "_asof_v": F.lit(None).cast(dict(r.dtypes)["_asof_v"])})
-    u = a.unionByName(r.withColumn("_asof_l", F.lit(0)), allowMissingColumns=True)
-    w = W.partitionBy(by).orderBy("_asof_t", "_asof_l").rowsBetween(W.unboundedPreceding, 0)
-    u = u.withColumn("_asof_v", F.last("_asof_v", ignorenulls=True).over(w)).where("_asof_l = 1")
-    return u.select(*left.columns, *[F.col(f"_asof_v.{v}").alias(v) for v in values])
+    r = right.groupBy(F.col(by).alias("_asof_k"), F.col(right_time).alias("_asof_t")).agg(F.max(F.struct(*values)).alias("_asof_v"))
+    asked = left.select(F.col(by).alias("_asof_k"), F.col(left_time).alias("_asof_t")).distinct()
+    u = asked.withColumns({"_asof_l": F.lit(1), "_asof_v": F.lit(None).cast(dict(r.dtypes)["_asof_v"])}).unionByName(r.withColumn("_asof_l", F.lit(0)))
+    w = W.partitionBy("_asof_k").orderBy("_asof_t", "_asof_l").rowsBetween(W.unboundedPreceding, 0)
+    found = u.withColumn("_asof_v", F.last("_asof_v", ignorenulls=True).over(w)).where("_asof_l = 1").drop("_asof_l")
+    out = left.join(found, (left[by] == found["_asof_k"]) & (left[left_time] == found["_asof_t"]), "left")
+    return out.select(*[left[c] for c in left.columns], *[F.col(f"_asof_v.{v}").alias(v) for v in values])
 
 
 def latest(df: DataFrame, by: list[str], order: list[Column], k: int = 1) -> DataFrame:
@@ -26,11 +29,15 @@ def latest(df: DataFrame, by: list[str], order: list[Column], k: int = 1) -> Dat
     return df.withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("k") <= k)
 
 
-def first_later(left: DataFrame, right: DataFrame, by: str, left_date: str, right_date: str, condition: Column, to: str) -> DataFrame:
-    """left with the earliest right date after left_date on which the condition (over both sides) holds."""
-    r = right.withColumnRenamed(by, "_by").withColumnRenamed(right_date, "_rd")
-    pairs = left.join(r, (left[by] == r["_by"]) & (r["_rd"] > left[left_date]) & condition, "left")
-    return pairs.groupBy(*[F.col(c) for c in left.columns]).agg(F.min("_rd").alias(to))
+def first_later(left: DataFrame, right: DataFrame, by: str, left_date: str, right_date: str, to: str) -> DataFrame:
+    """left with the earliest right date of the same key strictly after left_date, null if none. Swept like ``asof``, backwards."""
+    r = right.select(F.col(by).alias("_k"), F.col(right_date).alias("_t")).distinct()
+    asked = left.select(F.col(by).alias("_k"), F.col(left_date).alias("_t")).distinct()
+    u = asked.withColumns({"_l": F.lit(1), "_v": F.lit(None).cast(dict(r.dtypes)["_t"])}).unionByName(r.withColumns({"_l": F.lit(0), "_v": F.col("_t")}))
+    w = W.partitionBy("_k").orderBy(F.desc("_t"), F.desc("_l")).rowsBetween(W.unboundedPreceding, 0)
+    found = u.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_l = 1").drop("_l")
+    out = left.join(found, (left[by] == found["_k"]) & (left[left_date] == found["_t"]), "left")
+    return out.select(*[left[c] for c in left.columns], F.col("_v").alias(to))
 
 
 def trailing_z(series: DataFrame, days: int, least: int, by: str = "symbol", date: str = "d", value: str = "close") -> Column:

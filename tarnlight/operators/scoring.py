@@ -59,17 +59,25 @@ def event_strength(cfg: ScoringConfig = ScoringConfig()) -> Column:
 
 def persistence(cells: DataFrame, key: list[str], date: str, sign: str, days: int = 20, decay: float = 5.0) -> DataFrame:
     """cells with persistence: e^(-offset/decay) summed over earlier dates of the same sign within ``days``, walking back over
-    absent dates and ending at the first date of another sign; halved and at most 1. A bounded range join on the key."""
-    prior = cells.select(*[F.col(k).alias(f"_{k}") for k in key], F.col(date).alias("_d"), F.col(sign).alias("_s"))
-    on = [cells[k].eqNullSafe(prior[f"_{k}"]) for k in key] + [prior["_d"] < cells[date], prior["_d"] >= F.date_sub(cells[date], days)]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    pairs = cells.select(*key, date, sign).join(prior, cond).select(*key, date, sign, F.datediff(date, "_d").alias("off"), (F.col("_s") * F.col(sign)).alias("same"))
+    absent dates and ending at the first date of another sign; halved and at most 1.
+
+    The range join is an equi-join: dates fall into bins of ``days``, and an earlier date is offered to its own bin and the next.
+    """
+    bin_of = lambda c: F.expr(f"unix_date({c}) div {days}")
+    prior = cells.select(*[F.col(k).alias(f"_{k}") for k in key], F.col(date).alias("_d"), F.col(sign).alias("_s"), F.explode(F.array(bin_of(date), bin_of(date) + 1)).alias("_b"))
+    mine = cells.select(*key, date, sign, bin_of(date).alias("_bin"))
+    cond = (mine["_bin"] == prior["_b"]) & (prior["_d"] < mine[date]) & (prior["_d"] >= F.date_sub(mine[date], days))
+    for k in key:
+        cond = cond & mine[k].eqNullSafe(prior[f"_{k}"])
+    pairs = mine.join(prior, cond).select(*key, date, sign, F.datediff(date, "_d").alias("off"), (F.col("_s") * F.col(sign)).alias("same"))
     stop = pairs.groupBy(*key, date).agg(F.min(F.when(F.col("same") <= 0, F.col("off"))).alias("stop"), F.collect_list(F.struct("off", "same")).alias("p"))
     total = F.aggregate(F.filter("p", lambda x: x["off"] < F.coalesce(F.col("stop"), F.lit(days + 1))), F.lit(0.0), lambda a, x: a + F.exp(-x["off"] / decay))
     got = stop.select(*key, date, F.least(F.lit(1.0), total / 2).alias("_p"))
-    out = cells.join(got, [*key, date], "left")
+    got = got.withColumnsRenamed({c: f"_{c}" for c in [*key, date]})
+    same_cell = cells[date] == got[f"_{date}"]
+    for k in key:
+        same_cell = same_cell & cells[k].eqNullSafe(got[f"_{k}"])
+    out = cells.join(got, same_cell, "left").select(*[cells[c] for c in cells.columns], "_p")
     return out.withColumn("persistence", F.when(F.col(sign) == 0, 0.0).otherwise(F.coalesce("_p", F.lit(0.0)))).drop("_p")
 
 

@@ -130,7 +130,7 @@ REGIMES = ("shock", "stretched_up", "stretched_down", "trend_up", "trend_down",
 
 def regimes(bars: DataFrame, adx_trend: float = 20.0, rsi_high: float = 75.0, rsi_low: float = 25.0, band_high: float = 1.0, band_low: float = 0.0, shock_ratio: float = 1.5, strict: bool = False) -> DataFrame:
     """Tags, primary tag (in the order of REGIMES) and streak per (symbol, d). While the moving average warms up, a strong trend counts
-    as down, as in the reference; with strict it has no direction."""
+    as down unless strict, which leaves it without direction."""
     x = bars.join(recursive_indicators(bars), ["symbol", "d"])
     w = over()
     x = x.withColumns({"sma50": rolling_mean("close", 50), "pctb": percent_b()}).withColumn("slope", slope_percent("sma50"))

@@ -309,7 +309,7 @@ def j12(spark, d):
     p = Tables(spark, d).paper_trades.withColumn("d", F.to_date("plan_date"))
     t = p.where("direction = 'LONG' and d is not null and symbol is not null").select("trade_id", "symbol", "d")
     r = p.where("composite_score <= -0.5").select("symbol", F.col("d").alias("rd")).distinct()
-    return J.first_later(t, r, "symbol", "d", "rd", F.lit(True), "closed").select("trade_id", day("closed").alias("closed"))
+    return J.first_later(t, r, "symbol", "d", "rd", "closed").select("trade_id", day("closed").alias("closed"))
 
 
 @q("J15_lookup_by_date", f"WITH {BARS} SELECT CAST(a.d AS VARCHAR) AS d, round(a.close, 4) AS close, CAST(b.volume AS BIGINT) AS peers FROM bars a LEFT JOIN bars b ON a.d = b.d AND b.symbol = '5-LOW' WHERE a.symbol = '1-URGENT'")
