@@ -64,24 +64,26 @@ class Classifier:
             d.precompute_compress(level=LEVEL)
             self.compress.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
 
-    def sizes(self, text: str) -> list[int]:
+    def line(self, text: str) -> tuple[str | None, float, int]:
+        """(language, margin, least size); no language gives None. The share of Han among the letters settles Chinese: more than
+        half of it is Chinese, none of it rules Chinese out, and only what is left open is compressed."""
         raw = text.encode("utf-8", "surrogatepass")
-        return [len(c(raw)) for c in self.compress]
-
-    def best(self, sizes: list[int], han: float | None = None) -> tuple[str | None, float]:
-        """(language, margin); no language gives None. han: the share of Han among the letters; none of it rules Chinese
-        out, more than half settles it."""
-        order = sorted(range(len(sizes)), key=sizes.__getitem__)
-        if han is not None and "zh" in self.codes:
-            zh = self.codes.index("zh")
-            if han > 0.5:
-                return "zh", 1.0
-            if han < 0.02:
-                order.remove(zh)
-        if not order:
-            return None, 0.0
-        low = sizes[order[0]]
-        return self.codes[order[0]], (sizes[order[1]] - low) / low if len(order) > 1 else 1.0
+        han = han_share(text)
+        if han > 0.5 and "zh" in self.codes:
+            return "zh", 1.0, len(raw) // 3
+        low = second = 1 << 62
+        code = None
+        for name, compress in zip(self.codes, self.compress):
+            if name == "zh" and han < 0.02:
+                continue
+            n = len(compress(raw))
+            if n < low:
+                low, second, code = n, low, name
+            elif n < second:
+                second = n
+        if code is None:
+            return None, 0.0, 0
+        return code, (second - low) / low if second < 1 << 62 else 1.0, low
 
 
 _made: dict[int, Classifier] = {}
@@ -128,7 +130,7 @@ def dictionaries_of(rows: list[tuple[str, str, str]]) -> dict[str, bytes]:
         for which, pool in enumerate((texts[mine], titles[mine])):
             for code, lines in pool.items():
                 for x in dict.fromkeys(lines):
-                    got, margin = judge.best(judge.sizes(x), han_share(x))
+                    got, margin, _ = judge.line(x)
                     if x and got == code and margin >= 0.05:
                         kept[which].setdefault(code, []).append(x)
     return packed(*kept) or packed(texts[0], titles[0])
@@ -137,26 +139,25 @@ def dictionaries_of(rows: list[tuple[str, str, str]]) -> dict[str, bytes]:
 def classify_lines(lines: list[str], judge: Classifier) -> tuple[list[tuple[str | None, float]], str | None, float]:
     """(language, confidence) of each line, then the document's language and confidence.
 
-    The document's language is the one of the smallest summed sizes. Lines rejected as narrow take it; a line
-    contradicts it only by a clear margin.
+    The document's language is the one of the most bytes in lines that weren't rejected as narrow, its confidence their share times
+    their mean confidence. Rejected lines take it; a line contradicts it only by a clear margin.
     """
-    sizes = [judge.sizes(x) for x in lines]
-    if not sizes:
+    if not lines:
         return [], None, 0.0
-    per_line = [judge.best(s, han_share(x)) for s, x in zip(sizes, lines)]
+    per_line = [judge.line(x) for x in lines]
     weight: Counter = Counter()
-    for (code, margin), s in zip(per_line, sizes):
-        weight[code] += min(s) if margin >= NARROW else 0
-    total = [sum(col) for col in zip(*sizes)]
-    whole, whole_margin = judge.best(total)
-    main = max(weight, key=lambda c: (weight[c], c == whole)) if weight and max(weight.values()) > 0 else whole
-    out = []
-    for (code, margin), s in zip(per_line, sizes):
+    for code, margin, size in per_line:
+        weight[code] += size if margin >= NARROW else 0
+    main = max(sorted(weight, key=str), key=weight.__getitem__)
+    out, sure = [], []
+    for code, margin, _ in per_line:
         if code != main and margin < CONTRADICT and (main != "zh" or code is None):
             code, margin = main, 0.0
         out.append((code, margin / (1 + margin)))
+        if code == main:
+            sure.append(margin / (1 + margin))
     share = weight[main] / max(1, sum(weight.values()))
-    return out, main, share * whole_margin / (1 + whole_margin)
+    return out, main, share * sum(sure) / max(1, len(sure))
 
 
 def line_languages(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_id", source: str = "source_id", text: str = "raw_text", title: str = "title", label: str = "language") -> DataFrame:
