@@ -46,42 +46,48 @@ _edge = re.compile(r"^[\s*•|>»·\-]+|[\s|>»·:]+$")
 _letter = re.compile(r"[^\W\d_]")
 
 
-_not_letters = re.compile(r"[^\w\n]+|[\d_]+")
+_not_letters = re.compile(r"[\W\d_]+")
+_ASCII_LETTERS = {i: None for i in range(128) if not chr(i).isalpha()}
 _not_content = re.compile(r"[\W_]+")
 NO_KEY, LONG, AFTER = 0, 1, 2
+ROW_CHARS = 200
 
 
 def line_marks(text: str, title: str | None) -> tuple[list[int], list[int], list[int]]:
-    """Per line of a page the hash of its key (what identifies furniture: letters only, but rows of three or more
+    """Per line of a page the hash of its key (what identifies furniture: letters only, but short rows of three or more
     numbers keep their digits), the hash of the key of its part before a colon, and LONG + AFTER bits: many letters;
     follows the title."""
-    low = text.lower()
-    lines = low.split("\n")
-    keys = _not_letters.sub("", low).split("\n")
     head = title.strip().lower() if title else None
     hs, leads, bits = [], [], []
     above = ""
-    for line, key in zip(lines, keys):
-        if not key and not line.strip():
+    for line in text.lower().split("\n"):
+        bare = line.strip()
+        if not bare:
             hs.append(NO_KEY)
             leads.append(NO_KEY)
             bits.append(0)
             continue
-        full = key
-        if len(line) < 4 * len(key) + 40 and any(map(str.isdigit, line)) and len(_numbers.findall(line)) >= 3:
-            full = _not_content.sub("", line)
+        key = _letters_only(line)
+        if len(line) <= ROW_CHARS and len(_numbers.findall(line)) >= 3:
+            key = _not_content.sub("", line)
         lead = NO_KEY
-        at = line.find(":", 0, 62) if ":" in line else line.find("：", 0, 62) if "：" in line else -1
+        at = line.find(":", 0, 62)
+        if at < 0 and not line.isascii():
+            at = line.find("：", 0, 62)
         if 3 <= at <= 60 and len(line) > at + 8:
-            part = _not_letters.sub("", line[:at])
+            part = _letters_only(line[:at])
             lead = _hash(part) if part else NO_KEY
-        hs.append(_hash(full) if full else NO_KEY)
+        hs.append(_hash(key) if key else NO_KEY)
         leads.append(lead)
-        bits.append((LONG if len(full) >= LONG_LETTERS else 0) + (AFTER if head and above == head else 0))
-        above = line.strip()
+        bits.append((LONG if len(key) >= LONG_LETTERS else 0) + (AFTER if head and above == head else 0))
+        above = bare
     return hs, leads, bits
 
 
+def _letters_only(x: str) -> str:
+    return x.translate(_ASCII_LETTERS) if x.isascii() else _not_letters.sub("", x)
+
+
 def _hash(x: str) -> int:
     h = xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"))
     return h - (1 << 64) if h >> 63 else h
@@ -116,23 +122,31 @@ class Line:
     def __init__(self, no: int, raw: str, kind: int, lead: bool, stacked: bool) -> None:
         """stacked: the line above is furniture or belongs to a list of links."""
         self.no = no
-        text = _edge.sub("", raw.replace(" ", " "))
+        self.recurs = kind == 1
+        self.below = kind == 2
+        self.lead = lead
+        if kind:  # furniture by content, no need to look closer
+            self.text, self.link, self.row, self.stop, self.density = raw.strip(), True, False, False, 0.0
+            self.chars = self.weight = len(self.text)
+            self.tags = 1
+            return
+        text = _edge.sub("", raw)
         self.text = text
         self.chars = len(text)
         self.weight = self.chars + (1.5 * len(_wide.findall(text)) if not text.isascii() else 0)
         self.tags = 1 + len(_separators.findall(raw.strip()))
-        self.recurs = kind == 1
-        self.below = kind == 2
-        n = len(_numbers.findall(text))
-        letters = len(_letter.findall(text)) if n >= 3 and self.weight < 90 else self.chars
+        n = len(_numbers.findall(text)) if self.weight < 90 else 0
+        letters = len(_letter.findall(text)) if n >= 3 else self.chars
         self.row = n >= 3 and letters <= 24 and text.count("%") < 2
         self.stop = bool(_terminal.search(text))
-        self.lead = lead
         cut = text.rstrip(". ").endswith("…") or text.endswith("...")
         sentence = self.weight >= LONG_LINE or (self.weight >= 60 and (bool(_inner_stop.search(text)) or (self.stop and not stacked)))
         self.link = self.recurs or lead or cut or not sentence
         # composite density of the leaf
         c, t, lc, lt = self.weight, self.tags, self.weight if self.link else 0.0, self.tags if self.link else 0
+        if self.link:  # all of it is link text: the logarithm of 1
+            self.density = 0.0
+            return
         self.density = (c / t) * math.log(max(c * t, 1.0) / max(lc * lt, 1.0) + 1e-9) / math.log(math.e + (c * lc) / max(c - lc, 1.0)) if c else 0.0
         if self.density < 1:
             self.density = 0.0
