@@ -156,3 +156,11 @@ def test_providers(spark):
     assert sorted(str(r.reply_error) for r in P.extract(c, odd).collect()) == ["None", "missing field", "no object", "out of bounds"]
     done = c.limit(1).select("chunk_id")
     assert P.adjudicate(c.withColumnRenamed("text", "evidence_text"), P.stub, done, 2).count() == 2
+
+
+def test_jdbc_copy(spark):
+    url, driver = "jdbc:derby:memory:tl;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    K.copy_jdbc(df, url, "copied", driver=driver)
+    got = spark.read.format("jdbc").options(url=url, dbtable="copied", driver=driver).load()
+    assert {tuple(r) for r in got.collect()} == {(1, "a"), (2, None)}
