@@ -101,10 +101,12 @@ def _mark_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def furniture_flags(docs: DataFrame, doc_id: str, source: str, text: str, title: str) -> DataFrame:
     """(doc, flags): per document line_no * 4 + kind of its lines that recur in the source; kind 1: the line recurs,
-    2: it recurs below headlines, 3: its part before a colon recurs."""
+    2: it recurs below headlines, 3: its part before a colon recurs. Only different pages count towards recurring."""
     some = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.xxhash64(F.coalesce(F.col(source), F.lit(""))).alias("src"), F.col(text).alias("t"), F.col(title).alias("h"))
     marked = cut_lineage(some.mapInPandas(_mark_rows, "doc long, src long, hs array<long>, leads array<long>, bits array<int>"))
-    once = marked.select("src", F.explode(F.array_distinct(F.arrays_zip("hs", "bits"))).alias("x")).where(F.col("x.hs") != NO_KEY)
+    # Copies of a page count once, else the paragraphs of a page sent many times would pass for furniture.
+    first = marked.groupBy("src", F.xxhash64("hs").alias("page")).agg(F.min("doc").alias("doc")).select("doc")
+    once = marked.join(first, "doc", "left_semi").select("src", F.explode(F.array_distinct(F.arrays_zip("hs", "bits"))).alias("x")).where(F.col("x.hs") != NO_KEY)
     counts = once.groupBy("src", F.col("x.hs").alias("h")).agg(F.count("*").alias("k"), F.count_if(F.col("x.bits") >= AFTER).alias("k_after"), F.max(F.col("x.bits") % AFTER).alias("long"))
     often = counts.where(F.col("k") >= F.when(F.col("long") == LONG, MIN_PAGES_LONG).otherwise(MIN_PAGES))
     often = often.select("src", "h", F.when(F.col("k_after") >= BYLINE_SHARE * F.col("k"), 2).otherwise(1).alias("kind"))

@@ -39,6 +39,9 @@ def test_labelled_site(spark):
         title, lines = site(rnd, d, blank=d % 3 == 0, article=d % 10 != 9)
         rows.append((d, "s", None if d % 7 == 0 else title, "\n".join(x + ("\r" if d % 4 == 0 else "") for x, _ in lines), "clash"))
         want |= {(d, i): lab for i, (x, lab) in enumerate(lines) if x}
+    for d in range(60, 90):  # a third of all rows are copies of one page
+        rows.append((d, *rows[1][1:]))
+        want |= {(d, i): lab for (e, i), lab in want.items() if e == 1}
     got = {(r.doc_id, r.line_no): r.kind in B.ARTICLE for r in B.line_kinds(spark.createDataFrame(rows, PAGE)).collect()}
     assert got.keys() == want.keys()
     wrong = [k for k in want if got[k] != bool(want[k])]
