@@ -189,7 +189,7 @@ def p11(spark, d):
     return Tables(spark, d).market_prices.select("price_id", day(D.released_on(F.col("symbol"), F.col("price_time"))).alias("released"))
 
 
-@q("P12_label_lookup", "SELECT event_id, CASE direction WHEN 'bullish' THEN 1.0 WHEN 'bearish' THEN -1.0 WHEN 'mixed' THEN 0.25 ELSE 0.0 END AS sign FROM narrative_events")
+@q("P12_label_lookup", "SELECT event_id, (CASE direction WHEN 'bullish' THEN 1.0 WHEN 'bearish' THEN -1.0 WHEN 'mixed' THEN 0.25 ELSE 0.0 END)::DOUBLE AS sign FROM narrative_events")
 def p12(spark, d):
     from tarnlight.operators.scoring import ScoringConfig, lookup
 

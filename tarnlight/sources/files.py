@@ -155,7 +155,7 @@ def inbox(files: DataFrame, sources: DataFrame, root: str) -> DataFrame:
         "published_on": F.try_to_date(F.nullif(F.regexp_extract(stem, r"^(\d{4}-\d{2}-\d{2})[_\-\s].+$", 1), F.lit("")), "yyyy-MM-dd"),
         "title": F.regexp_extract(stem, r"^\d{4}-\d{2}-\d{2}[_\-\s](.+)$", 1),
     })
-    known = F.broadcast(sources.groupBy("source_id").agg(F.max("source_bucket").alias("registered")))  # a registry of publishers
+    known = sources.groupBy("source_id").agg(F.max("source_bucket").alias("registered"))
     x = x.join(known, "source_id", "left")
     error = F.col("error").isNotNull() if "error" in files.columns else F.lit(False)
     reject = (
