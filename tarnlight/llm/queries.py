@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlight.llm import language
 from tarnlight.llm import repeated_lines as rl
 from tarnlight.llm.boilerplate import FURNITURE, line_kinds
-from tarnlight.llm.mixing import mix
+from tarnlight.llm.mixing import mix, temperature_weights
 from tarnlight.llm.packing import fill_report, pack
 from tarnlight.llm.shared_spans import sentence_spans, shared_amount, shared_span_pairs
 from tarnlight.llm.splitting import split_oversized
@@ -120,9 +122,20 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p9_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain temperature mixing: the exponent whose weights have 95 % of the largest entropy, with natural shares and weights."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sized = token_counts(docs).join(docs.select("doc_id", "source"), "doc_id").where("source is not null")
+    tokens = {r["source"]: r["t"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}  # seven buckets
+    weights, exponent = temperature_weights(tokens, 0.95 * math.log(max(2, len(tokens))))
+    total = sum(tokens.values())
+    rows = [(s, t, t / total, weights.get(s, 0.0), exponent) for s, t in sorted(tokens.items())]
+    return spark.createDataFrame(rows, "source string, tokens long, natural_share double, weight double, exponent double")
+
+
 _ALL = (
     p2_found, p2_line_kinds, p2_main_text, p3_found, p3_cleaned, p6_found, p6_pieces, p7_found, p7_lines, p7_documents, p7_segments,
-    p8_packed_short, p8_packed_long, p8_fill_short, p8_fill_long, p9_mixture, p9_shares, p10_found, p10_shared_amount, p10_sentence_spans,
+    p8_packed_short, p8_packed_long, p8_fill_short, p8_fill_long, p9_mixture, p9_shares, p9_temperature, p10_found, p10_shared_amount, p10_sentence_spans,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
