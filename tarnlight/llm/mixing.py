@@ -25,6 +25,8 @@ def temperature_weights(tokens: dict[str, int], entropy: float | None = None, ex
     """(weights, exponent): natural shares to a power, which is given or bisected so that the weights have the entropy (nats)."""
     total = sum(tokens.values())
     shares = {k: v / total for k, v in tokens.items() if v > 0}
+    if not shares:
+        return {}, 1.0 if exponent is None else exponent
 
     def at(a: float) -> dict[str, float]:
         top = max(math.log(p) for p in shares.values())

@@ -128,7 +128,7 @@ def p9_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = token_counts(docs).join(docs.select("doc_id", "source"), "doc_id").where("source is not null")
     tokens = {r["source"]: r["t"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}  # seven buckets
     weights, exponent = temperature_weights(tokens, 0.95 * math.log(max(2, len(tokens))))
-    total = sum(tokens.values())
+    total = max(1, sum(tokens.values()))
     rows = [(s, t, t / total, weights.get(s, 0.0), exponent) for s, t in sorted(tokens.items())]
     return spark.createDataFrame(rows, "source string, tokens long, natural_share double, weight double, exponent double")
 

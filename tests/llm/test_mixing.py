@@ -59,3 +59,4 @@ def test_temperature_meets_the_entropy():
         w, a = M.temperature_weights(tokens, want)
         assert abs(h(w) - want) < 1e-6
     assert math.isclose(M.temperature_weights(tokens, exponent=1.0)[0]["a"], 0.9)
+    assert M.temperature_weights({}) == ({}, 1.0) and M.temperature_weights({"a": 0, "b": 3}, 0.0)[0] == {"b": 1.0}
