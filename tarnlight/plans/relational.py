@@ -216,9 +216,9 @@ def p19(spark, d):
     return g.withColumn("fresh", F.col("age") <= 6)
 
 
-@q("P20_json_read", "SELECT chunk_id, json_extract_string(metadata_json, '$.chunker') AS chunker, json_extract_string(metadata_json, '$.lang') AS lang FROM chunks WHERE metadata_json IS NOT NULL ORDER BY chunk_id LIMIT 50")
+@q("P20_json_read", "SELECT chunk_id, json_extract_string(metadata_json, '$.chunker') AS chunker, json_extract_string(metadata_json, '$.lang') AS lang FROM chunks WHERE metadata_json IS NOT NULL")
 def p20(spark, d):
-    x = Tables(spark, d).chunks.where("metadata_json is not null").orderBy("chunk_id").limit(50)
+    x = Tables(spark, d).chunks.where("metadata_json is not null")
     return x.select("chunk_id", F.get_json_object("metadata_json", "$.chunker").alias("chunker"), F.get_json_object("metadata_json", "$.lang").alias("lang"))
 
 
