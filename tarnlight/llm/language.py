@@ -2,7 +2,9 @@
 
 A text is compressed once per language with a zstandard raw-content dictionary of that language; the language whose
 dictionary leaves the fewest bytes wins. A narrow margin is rejected: such a line takes the language of the rest of
-its document. Confidence is 1 - best / second-best size.
+its document. Confidence is 1 - best / second-best size. Lines of under MIN_LETTERS letters are judged too, but by
+their document unless the margin is wide. A document without an article is judged by its whole page, then by its text,
+its title and at last its label, with less confidence.
 
 The dictionaries are fitted on a bounded sample of labelled rows (``PER_LANGUAGE`` documents a language, chosen by
 hash), cleaned by cross-fitting: each half's lines stay only where the other half's dictionaries agree with the
@@ -27,6 +29,10 @@ PER_LANGUAGE, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 96, 4000, 48 * 1024, 3
 MIN_LETTERS = 60
 #: Margin (share of the best size) under which a line is rejected, and under which it may not contradict its document.
 NARROW, CONTRADICT = 0.02, 0.08
+#: The same for a line of under MIN_LETTERS letters.
+CONTRADICT_SHORT = 0.3
+#: What a document is judged by, best first, and the weight of the confidence that comes from it.
+BASIS = {"article": 1.0, "page": 0.5, "text": 0.25, "title": 0.25, "label": 0.0}
 
 #: Names of the languages (ISO 639-1, 639-2, English, own language), in lower case.
 NAMES = {
@@ -136,58 +142,97 @@ def dictionaries_of(rows: list[tuple[str, str, str]]) -> dict[str, bytes]:
     return packed(*kept) or packed(texts[0], titles[0])
 
 
-def classify_lines(lines: list[str], judge: Classifier) -> tuple[list[tuple[str | None, float]], str | None, float]:
+def classify_lines(lines: list[str], judge: Classifier, long: list[bool] | None = None) -> tuple[list[tuple[str | None, float]], str | None, float]:
     """(language, confidence) of each line, then the document's language and confidence.
 
-    The document's language is the one of the most bytes in lines that weren't rejected as narrow, its confidence their share times
-    their mean confidence. Rejected lines take it; a line contradicts it only by a clear margin.
+    The document's language is the one of the most bytes in long lines that weren't rejected as narrow, its confidence their share times
+    their mean confidence; without a long line it is the one of all lines together. Rejected lines take it; a line contradicts it only
+    by a clear margin. long tells which lines are long; all if None.
     """
     if not lines:
         return [], None, 0.0
     per_line = [judge.line(x) for x in lines]
+    long = long or [True] * len(lines)
     weight: Counter = Counter()
-    for code, margin, size in per_line:
-        weight[code] += size if margin >= NARROW else 0
-    main = max(sorted(weight, key=str), key=weight.__getitem__)
+    for (code, margin, size), enough in zip(per_line, long):
+        if enough:
+            weight[code] += size if margin >= NARROW else 0
+    whole = 0.0
+    if weight:
+        main = max(sorted(weight, key=str), key=weight.__getitem__)
+    else:
+        main, whole, _ = judge.line("\n".join(lines))
     out, sure = [], []
-    for code, margin, _ in per_line:
-        if code != main and margin < CONTRADICT and (main != "zh" or code is None):
+    for (code, margin, _), enough in zip(per_line, long):
+        if not enough:
+            if code != main and margin < CONTRADICT_SHORT:
+                code, margin = main, 0.0
+        elif code != main and margin < CONTRADICT and (main != "zh" or code is None):
             code, margin = main, 0.0
         out.append((code, margin / (1 + margin)))
-        if code == main:
+        if enough and code == main:
             sure.append(margin / (1 + margin))
+    if not weight:
+        return out, main, whole / (1 + whole)
     share = weight[main] / max(1, sum(weight.values()))
     return out, main, share * sum(sure) / max(1, len(sure))
 
 
-def line_languages(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_id", source: str = "source_id", text: str = "raw_text", title: str = "title", label: str = "language") -> DataFrame:
-    """-> (doc_id, line_no, lang, confidence, doc_lang, doc_confidence, label_lang, n_langs) for each article line of at
-    least MIN_LETTERS letters; furniture is left out by the boilerplate operator.
+def line_languages(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_id", source: str = "source_id", text: str = "raw_text", title: str = "title", label: str = "language", copy: str = "text", long_only: bool = False) -> DataFrame:
+    """-> (doc_id, line_no, lang, confidence, doc_lang, doc_confidence, label_lang, n_langs, basis) for each line with a letter
+    of what the document is judged by (basis): its article, found by the boilerplate operator; without one its whole page;
+    without a letter on the page its copy, then its title, whose lines are numbered likewise. A document without a letter in
+    any gives nothing. label_lang is what the label names.
 
-    Null and empty pages and pages without such lines give nothing. label_lang is what the label names.
+    long_only: article lines of at least MIN_LETTERS letters only, and no other basis.
     """
     pages = flagged_pages(docs.select(doc_id, source, text, title, label), doc_id, source, text, title)
-    pages = pages.select("doc", "t", "h", "flags", named_language(F.col(label)).alias("label_lang"))
+    pages = pages.select("doc", "t", "h", "flags", named_language(F.col(label)).alias("label_lang"), F.lit("article").alias("basis"))
+    if not long_only:
+        lettered = lambda c: F.coalesce(F.col(c).rlike(r"\p{L}"), F.lit(False))
+        basis = F.when(lettered(copy), "text").when(lettered(title), "title")
+        rest = docs.where(~lettered(text)).withColumn("basis", basis).where("basis is not null")
+        body = F.when(F.col("basis") == "text", F.col(copy)).otherwise(F.col(title))
+        pages = pages.unionByName(rest.select(F.col(doc_id).alias("doc"), body.alias("t"), F.col(title).alias("h"), F.lit(None).cast("array<int>").alias("flags"), named_language(F.col(label)).alias("label_lang"), "basis"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = _classifier(dictionaries)
-        names = ["doc", "line_no", "lang", "confidence", "doc_lang", "doc_confidence", "label_lang", "n_langs"]
+        names = ["doc", "line_no", "lang", "confidence", "doc_lang", "doc_confidence", "label_lang", "n_langs", "basis"]
+        least = MIN_LETTERS if long_only else 1
         for b in batches:
             out = []
-            for d, t, h, f, label_lang in zip(b["doc"], b["t"], b["h"], b["flags"], b["label_lang"]):
+            for d, t, h, f, label_lang, basis in zip(b["doc"], b["t"], b["h"], b["flags"], b["label_lang"], b["basis"]):
                 raw = t.split("\n")
-                pick = [i for i, k in enumerate(page_kinds(t, f, h)) if k in ARTICLE and len(_letters.findall(raw[i])) >= MIN_LETTERS]
-                got, main, sure = classify_lines([raw[i].strip() for i in pick], judge)
+                letters = {}
+                if basis == "article":
+                    letters = {i: len(_letters.findall(raw[i])) for i, k in enumerate(page_kinds(t, f, h)) if k in ARTICLE}
+                    if not long_only and not any(letters.values()):
+                        basis = "page"
+                if basis != "article":
+                    letters = {i: len(_letters.findall(x)) for i, x in enumerate(raw)}
+                pick = [i for i, k in letters.items() if k >= least]
+                got, main, sure = classify_lines([raw[i].strip() for i in pick], judge, [letters[i] >= MIN_LETTERS for i in pick])
                 n = len({c for c, _ in got})
-                out += [(d, i, c, s, main, sure, label_lang, n) for i, (c, s) in zip(pick, got)]
+                w = BASIS[basis]
+                out += [(d, i, c, s * w, main, sure * w, label_lang, n, basis) for i, (c, s) in zip(pick, got)]
             yield pd.DataFrame(out, columns=names)
 
-    schema = "doc long, line_no int, lang string, confidence double, doc_lang string, doc_confidence double, label_lang string, n_langs int"
+    schema = "doc long, line_no int, lang string, confidence double, doc_lang string, doc_confidence double, label_lang string, n_langs int, basis string"
     return pages.mapInPandas(run, schema).withColumnRenamed("doc", doc_id)
 
 
+def document_languages(docs: DataFrame, lines: DataFrame, doc_id: str = "doc_id", label: str = "language") -> DataFrame:
+    """-> (doc_id, lang, confidence, n_langs, label_lang, basis), one row for each document; a document without a letter has
+    the language of its label and confidence 0."""
+    judged = lines.groupBy(doc_id).agg(*(F.max(c).alias(c) for c in ("doc_lang", "doc_confidence", "n_langs", "basis")))
+    x = docs.select(doc_id, named_language(F.col(label)).alias("label_lang")).join(judged, doc_id, "left")
+    lang = F.coalesce("doc_lang", "label_lang")
+    basis = F.when(F.col("doc_lang").isNotNull(), F.col("basis")).when(F.col("label_lang").isNotNull(), "label")
+    return x.select(doc_id, lang.alias("lang"), F.when(F.col("doc_lang").isNotNull(), F.col("doc_confidence")).otherwise(0.0).alias("confidence"), F.coalesce("n_langs", lang.isNotNull().cast("int")).alias("n_langs"), "label_lang", basis.alias("basis"))
+
+
 def segments(lines: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Consecutive lines of one language: (doc_id, segment_no, lang, first_line, last_line, n_lines, confidence)."""
+    """Consecutive lines of one language: (doc_id, segment_no, lang, basis, first_line, last_line, n_lines, confidence)."""
     w = W.partitionBy(doc_id).orderBy("line_no")
     x = lines.withColumn("new", F.coalesce((F.lag("lang").over(w) != F.col("lang")).cast("int"), F.lit(1))).withColumn("segment_no", F.sum("new").over(w) - 1)
-    return x.groupBy(doc_id, "segment_no", "lang").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count("*").alias("n_lines"), F.avg("confidence").alias("confidence"))
+    return x.groupBy(doc_id, "segment_no", "lang", "basis").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count("*").alias("n_lines"), F.avg("confidence").alias("confidence"))

@@ -60,14 +60,14 @@ def p7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = p7_lines(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    lines = language.line_languages(docs, language.fit_dictionaries(docs), long_only=True)
     wrong = F.col("label_lang").isNull() | (F.col("n_langs") > 1) | (F.col("label_lang") != F.col("lang"))
     return lines.where(wrong).select("doc_id", "line_no", "lang").distinct()
 
 
 def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = p7_lines(spark, sf_dir)
-    return lines.groupBy("doc_id").agg(F.max("doc_lang").alias("lang"), F.max("doc_confidence").alias("confidence"), F.max("n_langs").alias("n_langs"), F.max("label_lang").alias("label_lang"))
+    return language.document_languages(table(spark, sf_dir, "documents"), p7_lines(spark, sf_dir))
 
 
 def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

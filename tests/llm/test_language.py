@@ -63,3 +63,36 @@ def test_empty_tables(spark):
     assert L.line_languages(none, {}).count() == 0
     one = spark.createDataFrame([(1, "s", None, "word " * 60 + ". more.", "en", None, None, "")], PAGE)
     assert {r.lang for r in L.line_languages(one, {}).collect()} <= {None}
+
+
+def test_every_document_and_article_line_has_a_language(spark, sf):
+    by = {}
+    for r in labelled(spark, sf):
+        by.setdefault(r.lang, []).extend(x.strip() for x in r.text.split("\n") if 200 < len(x) < 900 and "  " not in x)
+    de, fr = (max(by[c], key=len) for c in ("de", "fr"))
+    body = "\n".join(["Ölpreise geben leicht nach", de, *sorted(by["de"])[:2]])
+    rows = [
+        (1, "s", "Ölpreise geben leicht nach", body, None, fr, "fr", ""),  # a headline of few letters
+        (2, "s", "t", None, "en", fr, "fr", ""),  # no page: the text
+        (3, "s", None, "Startseite\nMärkte und Nachrichten\nDatenschutzerklärung lesen", None, fr, "fr", ""),  # a page of furniture only
+        (4, "s", "原油价格小幅回落", "\n 12 \n", None, "", None, ""),  # the title only
+        (5, "s", None, None, "English", None, None, ""),  # the label only
+        (6, "s", None, None, None, None, None, ""),  # nothing
+    ]
+    docs = spark.createDataFrame(rows, PAGE)
+    fit = L.fit_dictionaries(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet"))
+    lines = L.line_languages(docs, fit)
+    got = {r.doc_id: r for r in L.document_languages(docs, lines).collect()}
+    assert {d: (r.lang, r.basis) for d, r in got.items()} == {1: ("de", "article"), 2: ("fr", "text"), 3: ("de", "page"), 4: ("zh", "title"), 5: ("en", "label"), 6: (None, None)}
+    assert got[1].confidence > 0 and got[2].confidence > 0 and got[5].confidence == got[6].confidence == 0
+    assert {r.line_no for r in lines.where("doc_id = 1").collect()} == {0, 1, 2, 3} and {r.lang for r in lines.where("doc_id = 1").collect()} == {"de"}
+    assert {r.doc_id: (r.n_lines, r.basis) for r in L.segments(lines).collect()}.keys() == {1, 2, 3, 4}
+    assert {r.line_no for r in L.line_languages(docs, fit, long_only=True).collect()} == {1, 2, 3}
+
+
+def test_queries_leave_no_document_out(spark, sf):
+    from tarnlight.llm import queries as Q
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert Q.p7_documents(spark, sf).select("doc_id").exceptAll(docs.select("doc_id")).count() == 0
+    assert Q.p7_documents(spark, sf).count() == docs.count()
