@@ -4,13 +4,14 @@ Composite text density over an implied tree. The pages arrive as text, so the tr
 a line is a leaf, a block a run of lines of one kind, and the tags of a leaf are its separators and its own. Which
 characters count as link text isn't marked up, it is measured: a line whose content (letters only) recurs on pages of
 the same source is site furniture, as is one that begins with such a line and a colon ("related stories: ..."),
-an abridged teaser or a bare headline in a list. Every leaf gets its composite density (characters per tag,
+an abridged teaser or a bare headline in a list. Copies of an article count as one page, whatever furniture they were
+sent with. Every leaf gets its composite density (characters per tag,
 adjusted for link characters), densities are summed over the children, and the run of leaves with the largest sum
 above the body threshold is the content. Headline, byline, rows of tables and wrapped paragraph ends have
 little density of their own and are taken by their place in the run.
 
-Shuffles: hashes of lines, pre-aggregated to counts per (source, content); hashes of lines again, for the join
-with the few repeated ones, salted; page texts once, to meet their flags. No group of a source is ever gathered.
+Shuffles: hashes of lines, pre-aggregated to counts per (source, content); hashes of the long lines, to find copies;
+hashes of lines again, for the join with the few repeated ones, salted; page texts once, to meet their flags. No group of a source is ever gathered.
 """
 
 from __future__ import annotations
@@ -23,11 +24,16 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tarnlight.session import cut_lineage
 
 SALTS = 16
 MIN_PAGES, LONG_LETTERS, MIN_PAGES_LONG = 3, 80, 8
+#: A copy shares more than this part of its new long lines with the first page that has them: under the same title, another one.
+COPY_SHARE, COPY_SHARE_RETITLED = 2 / 3, 0.8
+#: Long lines that a copy shares at least: under the same title, where a title is missing, under another title.
+COPY_LINES, COPY_LINES_UNTITLED, COPY_LINES_RETITLED = 2, 3, 5
 #: Weight from which on a line is running text whatever its ending.
 LONG_LINE = 110
 #: Share of a content's pages on which it follows the headline, from which on it is a byline.
@@ -49,14 +55,14 @@ _letter = re.compile(r"[^\W\d_]")
 _not_letters = re.compile(r"[\W\d_]+")
 _ASCII_LETTERS = {i: None for i in range(128) if not chr(i).isalpha()}
 _not_content = re.compile(r"[\W_]+")
-NO_KEY, LONG, AFTER = 0, 1, 2
+NO_KEY, LONG, AFTER, BODY = 0, 1, 2, 4
 ROW_CHARS = 200
 
 
 def line_marks(text: str, title: str | None) -> tuple[list[int], list[int], list[int]]:
     """Per line of a page the hash of its key (what identifies furniture: letters only, but short rows of three or more
-    numbers keep their digits), the hash of the key of its part before a colon, and LONG + AFTER bits: many letters;
-    follows the title."""
+    numbers keep their digits), the hash of the key of its part before a colon, and LONG + AFTER + BODY bits: many letters;
+    follows the title; as long as a paragraph, wide letters counted by their width."""
     head = title.strip().lower() if title else None
     hs, leads, bits = [], [], []
     above = ""
@@ -68,8 +74,10 @@ def line_marks(text: str, title: str | None) -> tuple[list[int], list[int], list
             bits.append(0)
             continue
         key = _letters_only(line)
+        body = len(key) >= LONG_LETTERS or (not key.isascii() and len(key) + 1.5 * len(_wide.findall(key)) >= LONG_LETTERS)
         if len(line) <= ROW_CHARS and len(_numbers.findall(line)) >= 3:
             key = _not_content.sub("", line)
+            body = False
         lead = NO_KEY
         at = line.find(":", 0, 62)
         if at < 0 and not line.isascii():
@@ -79,7 +87,7 @@ def line_marks(text: str, title: str | None) -> tuple[list[int], list[int], list
             lead = _hash(part) if part else NO_KEY
         hs.append(_hash(key) if key else NO_KEY)
         leads.append(lead)
-        bits.append((LONG if len(key) >= LONG_LETTERS else 0) + (AFTER if head and above == head else 0))
+        bits.append((LONG if len(key) >= LONG_LETTERS else 0) + (AFTER if head and above == head else 0) + (BODY if body else 0))
         above = bare
     return hs, leads, bits
 
@@ -96,18 +104,23 @@ def _hash(x: str) -> int:
 def _mark_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         marks = [line_marks(t, h) for t, h in zip(b["t"], b["h"])]
-        yield pd.DataFrame({"doc": b["doc"], "src": b["src"], "hs": [m[0] for m in marks], "leads": [m[1] for m in marks], "bits": [m[2] for m in marks]})
+        titles = [_hash(_not_content.sub("", h.lower())) if h and h.strip() else None for h in b["h"]]
+        yield pd.DataFrame({"doc": b["doc"], "src": b["src"], "title": pd.array(titles, dtype="Int64"), "hs": [m[0] for m in marks], "leads": [m[1] for m in marks], "bits": [m[2] for m in marks]})
 
 
 def furniture_flags(docs: DataFrame, doc_id: str, source: str, text: str, title: str) -> DataFrame:
     """(doc, flags): per document line_no * 4 + kind of its lines that recur in the source; kind 1: the line recurs,
-    2: it recurs below headlines, 3: its part before a colon recurs. Only different pages count towards recurring."""
+    2: it recurs below headlines, 3: its part before a colon recurs. Only different pages count towards recurring: those of
+    the same lines once, and those that copy_groups finds to carry one article once."""
     some = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.xxhash64(F.coalesce(F.col(source), F.lit(""))).alias("src"), F.col(text).alias("t"), F.col(title).alias("h"))
-    marked = cut_lineage(some.mapInPandas(_mark_rows, "doc long, src long, hs array<long>, leads array<long>, bits array<int>"))
+    marked = cut_lineage(some.mapInPandas(_mark_rows, "doc long, src long, title long, hs array<long>, leads array<long>, bits array<int>"))
     # Copies of a page count once, else the paragraphs of a page sent many times would pass for furniture.
     first = marked.groupBy("src", F.xxhash64("hs").alias("page")).agg(F.min("doc").alias("doc")).select("doc")
-    once = marked.join(first, "doc", "left_semi").select("src", F.explode(F.array_distinct(F.arrays_zip("hs", "bits"))).alias("x")).where(F.col("x.hs") != NO_KEY)
-    counts = once.groupBy("src", F.col("x.hs").alias("h")).agg(F.count("*").alias("k"), F.count_if(F.col("x.bits") >= AFTER).alias("k_after"), F.max(F.col("x.bits") % AFTER).alias("long"))
+    pages = marked.join(first, "doc", "left_semi")
+    lines = pages.join(copy_groups(pages), "doc", "left").select("src", "page", F.explode(F.array_distinct(F.arrays_zip("hs", "bits"))).alias("x")).select("src", "page", F.col("x.hs").alias("h"), F.col("x.bits").alias("bits")).where(F.col("h") != NO_KEY)
+    copied = lines.where("page is not null").groupBy("src", "page", "h").agg(F.bit_or("bits").alias("bits"))
+    once = lines.where("page is null").unionByName(copied)
+    counts = once.groupBy("src", "h").agg(F.count("*").alias("k"), F.count_if(F.col("bits").bitwiseAND(AFTER) > 0).alias("k_after"), F.max(F.col("bits").bitwiseAND(LONG)).alias("long"))
     often = counts.where(F.col("k") >= F.when(F.col("long") == LONG, MIN_PAGES_LONG).otherwise(MIN_PAGES))
     often = often.select("src", "h", F.when(F.col("k_after") >= BYLINE_SHARE * F.col("k"), 2).otherwise(1).alias("kind"))
     often = often.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
@@ -118,6 +131,29 @@ def furniture_flags(docs: DataFrame, doc_id: str, source: str, text: str, title:
     return hit.groupBy("doc").agg(F.collect_set(flag.cast("int")).alias("flags"))
 
 
+def copy_groups(pages: DataFrame) -> DataFrame:
+    """(doc, page): for pages that carry an article of an earlier page of their source, and for that page, its doc.
+
+    Each long line is led by the first page that has it. What a page shares with a leader is weighed against the long
+    lines that stand there for the first time, so that lines of the site, led by other pages, don't matter; and the leader must have at
+    least half of its long lines in common with it.
+    """
+    body = F.array_distinct(F.transform(F.filter(F.arrays_zip("hs", "bits"), lambda x: x["bits"].bitwiseAND(BODY) > 0), lambda x: x["hs"]))
+    held = pages.select("doc", "src", "title", body.alias("body")).withColumn("total", F.size("body"))
+    held = held.select("doc", "src", "title", "total", F.explode("body").alias("h"))
+    led = held.groupBy("src", "h").agg(F.min(F.struct("doc", "title", "total")).alias("lead"), F.count("*").alias("k")).where("k > 1").drop("k")
+    led = led.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    shared = held.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS))).join(led, ["src", "h", "salt"]).where(F.col("lead.doc") != F.col("doc"))
+    pairs = shared.groupBy("doc", "title", "total", "lead").agg(F.count("*").alias("n"))
+    new = F.col("n") + F.col("total") - F.sum("n").over(Window.partitionBy("doc"))
+    same = F.col("title") == F.col("lead.title")
+    least = F.when(same, COPY_LINES).when(same.isNull(), COPY_LINES_UNTITLED).otherwise(COPY_LINES_RETITLED)
+    share = F.when(same, COPY_SHARE).when(same.isNull(), COPY_SHARE).otherwise(COPY_SHARE_RETITLED)
+    copies = pairs.withColumn("new", new).where((F.col("n") >= least) & (F.col("n") > share * F.col("new")) & (2 * F.col("n") >= F.col("lead.total")))
+    copies = cut_lineage(copies.groupBy("doc").agg(F.min("lead.doc").alias("page")))
+    return copies.unionByName(copies.select(F.col("page").alias("doc"), "page")).groupBy("doc").agg(F.min("page").alias("page"))
+
+
 class Line:
     __slots__ = ("no", "text", "chars", "weight", "tags", "link", "row", "stop", "density", "recurs", "below", "lead")
 

@@ -73,3 +73,34 @@ def test_kernel_never_fails(text):
     kinds = B.classify(text, {}, set(), "t")
     assert len(kinds) == len(text.split("\n"))
     assert all(len(x) == len(kinds) for x in B.line_marks(text, None))
+
+
+@pytest.mark.parametrize("titles", ["same", "missing", "other"])
+def test_copies_under_other_furniture(spark, titles):
+    """An article sent 40 times with another strip and other teasers is no furniture, but what surrounds it is."""
+    rnd = random.Random(9)
+    pages = [site(rnd, d) for d in range(30)]
+    title = "Tanker rates climb as cargo demand grows"
+    story = [(title, 1), ("By the Example desk", 1)] + [(" ".join(sentence(rnd) for _ in range(3)), 1) for _ in range(6)]
+    for d in range(30, 70):
+        top, rest = site(rnd, d, article=False)[1][:3], site(rnd, d, article=False)[1][3:]
+        head = {"same": title, "missing": None, "other": f"Update {d}: {title}"}[titles]
+        pages.append((head, top + story + rest))
+    rows = [(d, "s", t, "\n".join(x for x, _ in lines), "") for d, (t, lines) in enumerate(pages)]
+    want = {(d, i): bool(lab) for d, (_, lines) in enumerate(pages) for i, (_, lab) in enumerate(lines)}
+    got = {(r.doc_id, r.line_no): r.kind in B.ARTICLE for r in B.line_kinds(spark.createDataFrame(rows, PAGE)).collect()}
+    assert got.keys() == want.keys()
+    wrong = [k for k in want if got[k] != want[k]]
+    assert len(wrong) <= 0.01 * len(want), [(k, rows[k[0]][3].split("\n")[k[1]]) for k in wrong][:10]
+
+
+def test_short_notes_with_long_notices_are_no_copies(spark):
+    """Pages that have only the long lines of their site in common keep them as furniture."""
+    rnd = random.Random(4)
+    notice = [" ".join(WORDS[i:] + WORDS[:i]).capitalize() + "." for i in range(3)]
+    rows = []
+    for d in range(30):
+        title = f"Note {rnd.choice(WORDS)} {rnd.choice(WORDS)} to port {d}"
+        rows.append((d, "s", title, "\n".join([title, sentence(rnd, 24), *notice]), ""))
+    got = B.line_kinds(spark.createDataFrame(rows, PAGE)).collect()
+    assert {r.line_no for r in got if r.kind == B.FURNITURE} == {2, 3, 4} and len(got) == 150
