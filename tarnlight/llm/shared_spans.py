@@ -8,9 +8,13 @@ two texts with a common span of 240 characters have an anchor in common, whereve
 
 1. anchors (hash, text key) of all texts; kept where two different texts hold the hash (min and max of the key per
    hash, no group is gathered);
-2. only for texts with such anchors: hashes of the five runs of 212 characters around each, so that shorter agreement
-   (stock phrases, even in a third of all texts) drops out before any pair is made;
-3. pairs of texts that agree in such a run, checked on the 28 characters beside it: exact length 240 or more.
+2. only for texts with such anchors: hashes of the five runs of 212 characters around each, kept where two texts hold one;
+3. pairs of texts that agree in a run that at most FEW rows hold, checked on the 28 characters beside it;
+4. for runs of more rows, before any pair is made: hashes of every full span of 240 characters around their anchors, kept where
+   two texts hold it, so that shorter agreement (stock phrases, even in a third of all texts) drops out; of the spans
+   that the same texts hold one, and the pairs of these texts, each of which is a result.
+
+Runs are compared by a 64-bit hash, spans by 128 bits: a hash of the span and one of its first half.
 
 Equal texts are one key throughout; copies are expanded at the end only.
 """
@@ -30,6 +34,8 @@ from tarnlight.session import cut_lineage
 SPAN, RUN, STEP = 240, 128, 28
 WINDOW = SPAN - RUN + 1
 WIDE = SPAN - STEP
+#: Rows of a wide run up to which its pairs are made and checked one by one.
+FEW = 16
 BLOCK = 1 << 20  # characters hashed at once
 _POS = np.uint64(BLOCK * 2 - 1)
 _B = 0x9E3779B97F4A7C15
@@ -141,30 +147,36 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"h": h.view(np.int64), "k": b["k"].to_numpy()[w]})
 
 
+def _held_anchors(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, RunHashes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of the texts with the places of the anchors in hs: (index of text, offset, owner, hashes, ends, places, their hashes, characters)."""
+    wanted = b["hs"].tolist()
+    for index, shift, codes, owner, ends in _blocks(b["text"].tolist()):
+        hashes = RunHashes(codes)
+        at, h = _anchors(hashes, ends)
+        own = owner[at]
+        ok = np.zeros(len(at), dtype=bool)
+        for o in np.unique(own):
+            i = own == o
+            ok[i] = np.isin(h[i].view(np.int64), wanted[index[o]])
+        yield index, shift, owner, hashes, ends, at[ok], h[ok], codes
+
+
 def _wide_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Around each anchor that another text holds too: the wide runs and what stands beside them."""
     for b in batches:
-        texts, keys, wanted = b["text"].tolist(), b["k"].to_numpy(), b["hs"].tolist()
-        for index, shift, codes, owner, ends in _blocks(texts):
-            hashes = RunHashes(codes)
-            at, h = _anchors(hashes, ends)
+        keys = b["k"].to_numpy()
+        for index, _, owner, hashes, ends, at, h, codes in _held_anchors(b):
             starts = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1])
             own = owner[at]
-            ok = np.zeros(len(at), dtype=bool)
-            for o in np.unique(own):
-                i = own == o
-                ok[i] = np.isin(h[i].view(np.int64), wanted[index[o]])
-            at, own = at[ok], own[ok]
             for j in range(0, SPAN - RUN + 1, STEP):
                 s = at - j
                 fit = (s >= starts[own]) & (s + WIDE <= ends[at])
                 s, o = s[fit], own[fit]
                 if not len(s):
                     continue
-                g = hashes.at(s, WIDE).view(np.int64)
                 left = [codes[max(starts[x], p - STEP) : p].tobytes().decode("utf-32-le", "surrogatepass") for p, x in zip(s, o)]
                 right = [codes[p + WIDE : min(ends[p], p + SPAN)].tobytes().decode("utf-32-le", "surrogatepass") for p in s]
-                yield pd.DataFrame({"g": g, "k": keys[index[o]], "l": left, "r": right}).drop_duplicates()
+                yield pd.DataFrame({"g": hashes.at(s, WIDE).view(np.int64), "k": keys[index[o]], "h": h[fit].view(np.int64), "l": left, "r": right}).drop_duplicates()
 
 
 def _common_suffix(a: str, b: str) -> int:
@@ -204,13 +216,21 @@ def span_keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     hits = anchors.join(shared, "h").groupBy("k").agg(F.collect_set("h").alias("hs"))
     first = keyed.groupBy("k").agg(F.min("id").alias("id"))
     some = hits.join(first, "k").select("id", "hs")
-    wide = cut_lineage(keyed.join(some, "id").select("k", "text", "hs").mapInPandas(_wide_rows, "g long, k long, l string, r string").distinct())
-    agree = wide.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("g")
-    wide = wide.join(agree, "g")
-    a = wide.select("g", F.col("k").alias("ka"), F.col("l").alias("la"), F.col("r").alias("ra"))
-    b = wide.select("g", F.col("k").alias("kb"), F.col("l").alias("lb"), F.col("r").alias("rb"))
+    wide = cut_lineage(keyed.join(some, "id").select("k", "text", "hs").mapInPandas(_wide_rows, "g long, k long, h long, l string, r string").distinct())
+    agree = wide.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("g", "n")
+    few = wide.join(agree.where(F.col("n") <= FEW).select("g"), "g")
+    a = few.select("g", F.col("k").alias("ka"), F.col("l").alias("la"), F.col("r").alias("ra"))
+    b = few.select("g", F.col("k").alias("kb"), F.col("l").alias("lb"), F.col("r").alias("rb"))
     near = a.join(b, (a["g"] == b["g"]) & (a["ka"] < b["kb"])).select("ka", "kb", "la", "lb", "ra", "rb")
-    return near.mapInPandas(_check, "ka long, kb long").distinct()
+    checked = near.mapInPandas(_check, "ka long, kb long")
+    many = wide.select("g", "k", "h").join(agree.where(F.col("n") > FEW).select("g"), "g")
+    hot = many.groupBy("k").agg(F.collect_set("h").alias("hs")).join(first, "k").select("id", "hs")
+    spans = cut_lineage(keyed.join(hot, "id").select("k", "text", "hs").mapInPandas(_span_rows, "g long, half long, k long").distinct())
+    held = spans.groupBy("g", "half").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y")).where("lo < hi")
+    one = held.groupBy("lo", "hi", "n", "x", "y").agg(F.min(F.struct("g", "half")).alias("one")).select("one.g", "one.half")
+    some = spans.join(one, ["g", "half"])
+    proven = some.select("g", "half", F.col("k").alias("ka")).join(some.select("g", "half", F.col("k").alias("kb")), ["g", "half"]).where("ka < kb").select("ka", "kb")
+    return checked.unionByName(proven).distinct()
 
 
 def shared_span_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,25 +248,28 @@ def shared_span_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return a.unionByName(b).where("ia <> ib").select(F.least("ia", "ib").alias("doc_id_a"), F.greatest("ia", "ib").alias("doc_id_b")).distinct()
 
 
+def _spans(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, RunHashes]]:
+    """Every full span around the anchors in hs: (row of its text, its place in the text, its place in the block, hashes)."""
+    for index, shift, owner, hashes, ends, at, _, _ in _held_anchors(b):
+        s = np.unique((at[:, None] - np.arange(WINDOW)[None, :]).ravel())
+        s = s[s >= 0]
+        s = s[s + SPAN <= ends[s]]
+        o = owner[s]
+        yield index[o], s + shift[o], s, hashes
+
+
 def _gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every full span around the anchors that another text holds too."""
     for b in batches:
-        texts, keys, wanted = b["text"].tolist(), b["k"].to_numpy(), b["hs"].tolist()
-        for index, shift, codes, owner, ends in _blocks(texts):
-            hashes = RunHashes(codes)
-            at, h = _anchors(hashes, ends)
-            starts = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1])
-            own = owner[at]
-            ok = np.zeros(len(at), dtype=bool)
-            for o in np.unique(own):
-                i = own == o
-                ok[i] = np.isin(h[i].view(np.int64), wanted[index[o]])
-            s = np.unique((at[ok][:, None] - np.arange(WINDOW)[None, :]).ravel())
-            s = s[s >= 0]
-            s = s[(s + SPAN <= len(codes))]
-            s = s[s + SPAN <= ends[s]]
-            o = owner[s]
-            yield pd.DataFrame({"g": hashes.at(s, SPAN).view(np.int64), "k": keys[index[o]], "pos": s + shift[o]})
+        keys = b["k"].to_numpy()
+        for row, pos, s, hashes in _spans(b):
+            yield pd.DataFrame({"g": hashes.at(s, SPAN).view(np.int64), "k": keys[row], "pos": pos})
+
+
+def _span_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        keys = b["k"].to_numpy()
+        for row, _, s, hashes in _spans(b):
+            yield pd.DataFrame({"g": hashes.at(s, SPAN).view(np.int64), "half": hashes.at(s, SPAN // 2).view(np.int64), "k": keys[row]}).drop_duplicates()
 
 
 def shared_amount(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -76,6 +76,28 @@ def test_phrase_in_a_third_of_all_texts_makes_no_pairs(spark):
     assert S.shared_span_pairs(spark.createDataFrame(rows, DOC)).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 3])
+def test_pairs_of_frequent_runs_equal_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(S, "FEW", few, raising=False)
+    rows = corpus(3)
+    got = [(r.doc_id_a, r.doc_id_b) for r in S.shared_span_pairs(spark.createDataFrame(rows, DOC)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows)
+
+
+def test_phrase_just_under_the_span_makes_no_pairs_on_the_way(spark, monkeypatch):
+    """239 characters in a third of all texts; two of them share 240."""
+    rnd = random.Random(8)
+    phrase = noise(rnd, 239, "abcdefgh ijkl.")
+    ends = {0: "Q", 3: "Q"}
+    rows = [(i, noise(rnd, 300) + chr(0x5E00 + i) + (phrase + ends.get(i, chr(0x4E00 + i)) if i % 3 == 0 else "") + noise(rnd, 300), "") for i in range(300)]
+    kept = []
+    cut = S.cut_lineage
+    monkeypatch.setattr(S, "cut_lineage", lambda df: kept.append(cut(df)) or kept[-1])
+    assert [(r.doc_id_a, r.doc_id_b) for r in S.shared_span_pairs(spark.createDataFrame(rows, DOC)).collect()] == [(0, 3)]
+    groups = kept[-1].groupBy(*[c for c in ("g", "half") if c in kept[-1].columns]).count()
+    assert groups.where("count > 2").count() == 0  # what is joined with itself
+
+
 def test_empty_and_repeated_rows(spark):
     none = spark.createDataFrame([], DOC)
     assert S.shared_span_pairs(none).count() == 0 and S.shared_amount(none).count() == 0 and S.sentence_spans(none).count() == 0
