@@ -24,6 +24,24 @@ def asof(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time:
     return out.select(*[left[c] for c in left.columns], *[F.col(f"_asof_v.{v}").alias(v) for v in values])
 
 
+#: Keys that skewed_join broadcasts at most.
+HOT_KEYS = 4096
+
+
+def skewed_join(rows: DataFrame, keys: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """rows joined with keys (one row a key) on columns of the same names, without a hot key in one task.
+
+    weight tells how many rows a key has (roughly). A key with more than a HOT_KEYS-th part of all weight is broadcast, and there
+    can be no more than HOT_KEYS such keys, whatever the data; the rest, whose keys are bounded in their turn, meet in a shuffle that
+    the rows of hot keys don't enter. Null keys match nothing. Both inputs are read more than once: pass cheap or stored ones.
+    """
+    total = keys.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) > F.lit(float(total) / HOT_KEYS)
+    heavy, light = keys.where(hot).drop(weight), keys.where(~hot).drop(weight)
+    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(heavy), on).unionByName(rest.join(light, on))
+
+
 def latest(df: DataFrame, by: list[str], order: list[Column], k: int = 1) -> DataFrame:
     """The k first rows of each key in the order given, with their rank ``k``; for k = 1 prefer max_by."""
     return df.withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("k") <= k)
