@@ -70,7 +70,7 @@ def test_hot_source_and_main_text(spark):
 
 @pytest.mark.parametrize("text", ["", "\n", "…", "a", "|" * 50, "1 2 3 4", "\u0000\n ", "x" * 100_000])
 def test_kernel_never_fails(text):
-    kinds = B.classify(text, {}, set(), "t")
+    kinds = B.classify(text, {}, {}, "t")
     assert len(kinds) == len(text.split("\n"))
     assert all(len(x) == len(kinds) for x in B.line_marks(text, None))
 
@@ -104,3 +104,42 @@ def test_short_notes_with_long_notices_are_no_copies(spark):
         rows.append((d, "s", title, "\n".join([title, sentence(rnd, 24), *notice]), ""))
     got = B.line_kinds(spark.createDataFrame(rows, PAGE)).collect()
     assert {r.line_no for r in got if r.kind == B.FURNITURE} == {2, 3, 4} and len(got) == 150
+
+
+def test_density_values_decide(spark):
+    """Rows change if every density above 0 is the same, so the values do the work, not only which lines have any."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("raw_text is not null")
+    pages = B.flagged_pages(docs, "doc_id", "source_id", "raw_text", "title").select("t", "flags", "h").collect()
+    right = [B.page_kinds(*p) for p in pages]
+    value = B.composite_density
+    try:
+        B.composite_density = lambda *a: 1000.0 if value(*a) > 0 else 0.0
+        flat = [B.page_kinds(*p) for p in pages]
+    finally:
+        B.composite_density = value
+    assert sum(a != b for x, y in zip(right, flat) for a, b in zip(x, y)) > 100
+
+
+def test_density_of_a_leaf():
+    plain, half, most, all_ = (B.composite_density(200, 1, 200 * x, x, 0.3) for x in (0, 0.5, 0.9, 1))
+    assert plain > half > most > all_ == 0
+    assert B.composite_density(400, 1, 0, 0, 0.3) > plain > B.composite_density(200, 4, 0, 0, 0.3)
+    assert B.composite_density(0, 0, 0, 0, 0) == 0
+
+
+@pytest.mark.parametrize("pages", [2, 7])
+def test_any_number_of_pages(spark, pages):
+    """With few pages a source the same lines come out as with all of them."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    docs = spark.read.parquet(path).where("raw_text is not null")
+    few = docs.selectExpr("*", "row_number() over (partition by source_id order by doc_id) as n").where(f"n <= {pages}").drop("n").cache()
+    out = lambda d: {(r.doc_id, r.line_no) for r in B.line_kinds(d).where("kind = 'furniture'").collect()}
+    ids = {r.doc_id for r in few.select("doc_id").collect()}
+    want, got = {x for x in out(docs) if x[0] in ids}, out(few)
+    assert len(want & got) >= 0.98 * len(want) and len(want & got) >= 0.98 * len(got)
+
+
+def test_documents_may_have_names(spark):
+    rows = [("a", "s", "Title of it all", "Title of it all\n" + sentence(random.Random(2), 40), ""), ("b", "s", None, "Home", "")]
+    got = B.line_kinds(spark.createDataFrame(rows, PAGE.replace("doc_id long", "doc_id string"))).orderBy("doc_id", "line_no").collect()
+    assert [tuple(r) for r in got] == [("a", 0, B.HEADLINE), ("a", 1, B.PARAGRAPH), ("b", 0, B.FURNITURE)]
