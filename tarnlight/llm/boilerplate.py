@@ -128,7 +128,7 @@ def furniture_flags(docs: DataFrame, doc_id: str, source: str, text: str, title:
     some = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.xxhash64(F.coalesce(F.col(source), F.lit(""))).alias("src"), F.col(text).alias("t"), F.col(title).alias("h"))
     marked = cut_lineage(some.mapInPandas(_mark_rows, f"doc {kind}, src long, title long, hs array<long>, leads array<long>, bits array<int>"))
     first = marked.groupBy("src", F.xxhash64("hs").alias("page")).agg(F.min("doc").alias("doc")).select("doc")
-    pages = marked.join(first, "doc", "left_semi")
+    pages = cut_lineage(marked.join(first, "doc", "left_semi"))
     lines = pages.join(copy_groups(pages), "doc", "left").select("src", "page", F.explode(F.array_distinct(F.arrays_zip("hs", "bits"))).alias("x")).select("src", "page", F.col("x.hs").alias("h"), F.col("x.bits").alias("bits")).where(F.col("h") != NO_KEY)
     lines = lines.withColumn("h", _scoped("h", F.col("bits")))
     copied = lines.where("page is not null").groupBy("src", "page", "h").agg(F.bit_or("bits").alias("bits"))
@@ -159,7 +159,7 @@ def copy_groups(pages: DataFrame) -> DataFrame:
     body = F.array_distinct(F.transform(F.filter(F.arrays_zip("hs", "bits"), lambda x: x["bits"].bitwiseAND(BODY) > 0), lambda x: x["hs"]))
     held = pages.select("doc", "src", "title", body.alias("body")).withColumn("total", F.size("body"))
     held = held.select("doc", "src", "title", "total", F.explode("body").alias("h"))
-    led = held.groupBy("src", "h").agg(F.min(F.struct("doc", "title", "total")).alias("lead"), F.count("*").alias("k")).where("k > 1")
+    led = cut_lineage(held.groupBy("src", "h").agg(F.min(F.struct("doc", "title", "total")).alias("lead"), F.count("*").alias("k")).where("k > 1"))
     shared = skewed_join(held, led, ["src", "h"], "k").where(F.col("lead.doc") != F.col("doc"))
     pairs = shared.groupBy("doc", "title", "total", "lead").agg(F.count("*").alias("n"))
     new = F.col("n") + F.col("total") - F.sum("n").over(Window.partitionBy("doc"))
