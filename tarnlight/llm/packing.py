@@ -2,10 +2,10 @@
 
 Each item goes to the fill level (or a new container) that minimises the sum over levels of the squared number of
 containers standing partly filled at that level; the levels are one array. Items are dealt to shards by hash, each
-shard packs its own; containers left partly filled then count as items themselves and are packed again in fewer
-shards, until one shard holds the rest, so no space is lost to sharding and no shard ever holds more than
-SHARD_ITEMS items on average. Only an item above the capacity is divided: into full containers and a remainder that
-is packed like any item.
+shard packs its own; the items of containers that aren't nearly full are dealt anew and packed again. Each round counts
+what is left and takes as many shards as that needs, so none holds more than shard_items items on average, whatever was settled.
+The rounds end with the one that has a single shard, or that settles less than SETTLED of its items: those are kept as they stand.
+Only an item above the capacity is divided: into full containers and a remainder that is packed like any item.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from tarnlight.session import cut_lineage
 
-SHARD_ITEMS, MERGE, OPEN_BELOW = 20_000, 16, 0.97
+SHARD_ITEMS, OPEN_BELOW = 20_000, 0.98
+#: Part of its items that a round has to settle for another one to follow.
+SETTLED = 0.1
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -48,13 +50,23 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def pack(items: DataFrame, capacity: int, item_id: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+def pack(items: DataFrame, capacity: int, item_id: str = "doc_id", size: str = "n_tokens", shard_items: int = SHARD_ITEMS, rounds: list[tuple[int, int]] | None = None) -> DataFrame:
     """items(item_id, size) -> (container_id, item_id, part_no, n_parts, part_size), the sizes of a container adding up
     to at most capacity.
 
     An item above the capacity comes in parts, numbered from 0, all but the last filling a container of their own. Items
     of size 0, null or less need no room: container_id null. Repeated rows are items of their own. Nothing is dropped.
+    Into rounds, if given, goes what each round had: (items, shards).
     """
+
+    def pack_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["order", "key"], kind="stable").reset_index(drop=True)
+        w = pdf["w"].to_numpy()
+        c = sum_of_squares(w, capacity)
+        fill = np.bincount(c, weights=w).astype(np.int64)
+        name = f"{pdf['level'].iloc[0]}.{pdf['shard'].iloc[0]}."
+        return pd.DataFrame({"key": pdf["key"], "w": w, "box": [f"{name}{x}" for x in c], "fill": fill[c]})
+
     rows = items.select(F.col(item_id).alias("id"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("n"))
     n_parts = F.greatest(F.lit(1), F.ceil(F.col("n") / capacity)).cast("long")
     parts = rows.select("id", "n", n_parts.alias("n_parts"), F.explode(F.sequence(F.lit(0).cast("long"), n_parts - 1)).alias("part_no"))
@@ -62,38 +74,28 @@ def pack(items: DataFrame, capacity: int, item_id: str = "doc_id", size: str = "
     parts = parts.withColumn("key", F.concat_ws(":", F.lit("i"), F.col("id").cast("string"), "part_no", F.monotonically_increasing_id()))
     parts = cut_lineage(parts)
     loose = parts.where((F.col("w") > 0) & (F.col("w") < capacity)).select("key", "w")
-    count = loose.count()
-
-    def one_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "key"], kind="stable").reset_index(drop=True)
-        w = pdf["w"].to_numpy()
-        c = sum_of_squares(w, capacity)
-        fill = np.bincount(c, weights=w).astype(np.int64)
-        name = (pdf["level"].astype(str) + "." + pdf["shard"].astype(str) + ".").iloc[0]
-        return pd.DataFrame({"key": pdf["key"], "box": [f"{name}{x}" for x in c], "fill": fill[c]})
-
-    shards, level = max(1, -(-count // SHARD_ITEMS)), 0
-    owner = loose.select("key", F.col("key").alias("box"))
-    final = None
+    left, level, boxes = loose.count(), 0, None
     while True:
-        x = loose.select("key", "w", F.lit(level).alias("level"), F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), F.xxhash64("key", F.lit(1)).alias("order"))
-        done = cut_lineage(x.groupBy("shard").applyInPandas(one_shard, "key string, box string, fill long"))
-        moved = owner.join(done.select(F.col("key").alias("box"), F.col("box").alias("new_box"), "fill"), "box").select("key", F.col("new_box").alias("box"), "fill")
-        last = shards == 1
-        settled = moved if last else moved.where(F.col("fill") > OPEN_BELOW * capacity)
-        final = settled.select("key", "box") if final is None else final.unionByName(settled.select("key", "box"))
+        shards = max(1, -(-left // shard_items))
+        if rounds is not None:
+            rounds.append((left, shards))
+        dealt = loose.select("key", "w", F.lit(level).alias("level"), F.pmod(F.xxhash64("key", F.lit(level)), F.lit(shards)).alias("shard"), F.xxhash64("key", F.lit(-1)).alias("order"))
+        done = cut_lineage(dealt.groupBy("shard").applyInPandas(pack_shard, "key string, w long, box string, fill long"))
+        is_open = F.col("fill") <= OPEN_BELOW * capacity
+        again = done.where(is_open).count() if shards > 1 else 0
+        last = shards == 1 or again > (1 - SETTLED) * left
+        settled = (done if last else done.where(~is_open)).select("key", "box")
+        boxes = settled if boxes is None else boxes.unionByName(settled)
         if last:
             break
-        owner = moved.where(F.col("fill") <= OPEN_BELOW * capacity).select("key", "box")
-        loose = done.where(F.col("fill") <= OPEN_BELOW * capacity).select(F.col("box").alias("key"), F.col("fill").alias("w")).distinct()
-        shards, level = max(1, shards // MERGE), level + 1
-    out = parts.join(final, "key", "left")
+        loose, left, level = done.where(is_open).select("key", "w"), again, level + 1
+    out = parts.join(boxes, "key", "left")
     box = F.when(F.col("w") == capacity, F.concat(F.lit("full."), "key")).otherwise(F.col("box"))
     return out.select(box.alias("container_id"), F.col("id").alias(item_id), F.col("part_no").cast("int").alias("part_no"), F.col("n_parts").cast("int").alias("n_parts"), F.col("w").alias("part_size"))
 
 
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
-    """(capacity, containers, tokens, fill, divided_items, roomless_items) of a packing, one row."""
-    boxes = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("part_size").alias("fill"), F.count_if(F.col("part_no") * 1 + 1 < F.col("n_parts")).alias("cut"), F.count_if((F.col("n_parts") > 1) & (F.col("part_no") == 0)).alias("divided"))
+    """(capacity, containers, tokens, fullest, fill, divided_items) of a packing, one row."""
+    boxes = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("part_size").alias("fill"), F.count_if((F.col("n_parts") > 1) & (F.col("part_no") == 0)).alias("divided"))
     total = boxes.agg(F.count("*").alias("containers"), F.coalesce(F.sum("fill"), F.lit(0)).alias("tokens"), F.max("fill").alias("fullest"), F.coalesce(F.sum("divided"), F.lit(0)).alias("divided_items"))
     return total.select(F.lit(capacity).alias("capacity"), "containers", "tokens", "fullest", F.try_divide(F.col("tokens"), F.col("containers") * capacity).alias("fill"), "divided_items")

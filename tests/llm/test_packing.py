@@ -26,14 +26,34 @@ def check(rows, packed, capacity):
 
 
 @pytest.mark.parametrize("shard", [20_000, 150])
-def test_nothing_is_lost_or_split_and_little_is_empty(spark, monkeypatch, shard):
-    monkeypatch.setattr(P, "SHARD_ITEMS", shard)
+def test_nothing_is_lost_or_split_and_little_is_empty(spark, shard):
     rnd = random.Random(1)
     rows = [(i, rnd.choice([rnd.randrange(1, 300), rnd.randrange(1, 60), rnd.randrange(400, 2000)]), "x") for i in range(1500)]
-    fill = check(rows, P.pack(spark.createDataFrame(rows, ITEM), 512).collect(), 512)
+    fill = check(rows, P.pack(spark.createDataFrame(rows, ITEM), 512, shard_items=shard).collect(), 512)
     assert sum(fill.values()) / (len(fill) * 512) > 0.97
 
 
+@pytest.mark.parametrize("smallest", [600, 30])
+def test_no_round_gathers_what_cannot_merge(spark, smallest):
+    """All items but one above half of the capacity: no shard of any round gets more than twice its share."""
+    items = spark.range(8000).selectExpr("id as doc_id", "600L as n_tokens", "'' as box").unionByName(spark.createDataFrame([(-1, smallest, "")], ITEM))
+    rounds = []
+    got = P.pack(items, 1000, shard_items=500, rounds=rounds)
+    assert got.select("container_id").distinct().count() == 8000 + (smallest > 400) and got.count() == 8001
+    assert all(left <= shards * 500 for left, shards in rounds) and len(rounds) <= 2
+    spread = items.selectExpr("pmod(xxhash64(doc_id), 16) as s").groupBy("s").count().agg({"count": "max"}).first()[0]
+    assert spread <= 1000
+
+
+def test_rounds_shrink(spark):
+    items = spark.range(6000).selectExpr("id as doc_id", "1 + pmod(xxhash64(id), 700) as n_tokens", "'' as box")
+    rounds = []
+    packed = P.pack(items, 1000, shard_items=300, rounds=rounds)
+    report = P.fill_report(packed, 1000).first()
+    assert report.fill > 0.98 and report.tokens == items.agg({"n_tokens": "sum"}).first()[0]
+    assert [a for a, _ in rounds] == sorted((a for a, _ in rounds), reverse=True) and rounds[-1][1] == 1 and len(rounds) >= 2
+
+
 def test_odd_sizes_and_repeats(spark):
     rows = [(1, None, ""), (2, 0, ""), (3, -5, ""), (4, 512, ""), (5, 1024, ""), (6, 1025, ""), (7, 1, ""), (7, 1, ""), (8, 511, "")]
     got = P.pack(spark.createDataFrame(rows, ITEM), 512).collect()
