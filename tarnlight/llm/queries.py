@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlight.llm import language
 from tarnlight.llm import repeated_lines as rl
 from tarnlight.llm.boilerplate import FURNITURE, line_kinds
-from tarnlight.llm.mixing import mix, temperature_weights
+from tarnlight.llm.mixing import mix, temperature_mix
 from tarnlight.llm.packing import fill_report, pack
 from tarnlight.llm.shared_spans import sentence_spans, shared_amount, shared_span_pairs
 from tarnlight.llm.splitting import split_oversized
@@ -36,6 +34,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rl.repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no").distinct()
 
 
+def p3_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recurring contents with the test whether they are the site's own."""
+    return rl.site_lines(table(spark, sf_dir, "documents")).withColumn("llr", F.round("llr", 4))
+
+
 def p3_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source_id", "raw_text")
     return rl.without_lines(docs, rl.repeated_lines(docs)).select("doc_id", "raw_text", "lines_removed")
@@ -107,35 +110,61 @@ def p8_fill_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(*_packed(spark, sf_dir, "pack_long"))
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _p8_invariants(spark: SparkSession, sf_dir: str, use: str) -> DataFrame:
+    """What must not happen, counted: containers over capacity, texts lost or with other tokens than they have, texts divided that would fit."""
+    docs = table(spark, sf_dir, "documents")
+    sizes = cut_lineage(token_counts(docs))
+    capacity = _limits(spark, sf_dir, use)[0]
+    packed = cut_lineage(pack(sizes, capacity))
+    over = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("part_size").alias("s")).where(F.col("s") > capacity).agg(F.count("*").alias("over_capacity"))
+    got = packed.groupBy("doc_id").agg(F.sum("part_size").alias("s"), F.count("*").alias("parts"))
+    x = sizes.join(got, "doc_id", "left").agg(F.count("*").alias("texts"), F.count_if(~F.col("s").eqNullSafe(F.col("n_tokens"))).alias("not_whole"), F.count_if((F.col("n_tokens") <= capacity) & (F.col("parts") > 1)).alias("divided_needlessly"))
+    one = F.lit(1).alias("one")
+    return x.select("*", one).join(over.select("*", one), "one").select("texts", "over_capacity", "not_whole", "divided_needlessly")
+
+
+def p8_invariants_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p8_invariants(spark, sf_dir, "pack_short")
+
+
+def p8_invariants_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p8_invariants(spark, sf_dir, "pack_long")
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = cut_lineage(token_counts(docs))
-    keyed = docs.where("text is not null").select("doc_id", "source", F.md5(F.col("text")).alias("text_key")).join(sized, "doc_id")
-    return mix(keyed, table(spark, sf_dir, "mix_targets"))
+    return docs.where("text is not null").select("doc_id", "source", F.md5(F.col("text")).alias("text_key")).join(sized, "doc_id")
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixed(spark, sf_dir)[0]
+    return mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[0]
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixed(spark, sf_dir)[1]
+    return mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target: whether the share reached is within a hundredth and no text is used more often than allowed."""
+    targets = table(spark, sf_dir, "mix_targets")
+    got = p9_shares(spark, sf_dir).select("mix_name", "source", "actual_share", "most_copies")
+    near = F.abs(F.col("actual_share") - F.col("target_share")) <= 0.01
+    return targets.join(got, ["mix_name", "source"], "left").select("mix_name", "source", near.alias("share_reached"), (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
+def p9_temperature_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temperature_mix(_sized(spark, sf_dir))[0]
 
 
-def p9_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain temperature mixing: the exponent whose weights have 95 % of the largest entropy, with natural shares and weights."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    sized = token_counts(docs).join(docs.select("doc_id", "source"), "doc_id").where("source is not null")
-    tokens = {r["source"]: r["t"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}  # seven buckets
-    weights, exponent = temperature_weights(tokens, 0.95 * math.log(max(2, len(tokens))))
-    total = max(1, sum(tokens.values()))
-    rows = [(s, t, t / total, weights.get(s, 0.0), exponent) for s, t in sorted(tokens.items())]
-    return spark.createDataFrame(rows, "source string, tokens long, natural_share double, weight double, exponent double")
+def p9_temperature_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temperature_mix(_sized(spark, sf_dir))[1]
 
 
 _ALL = (
-    p2_found, p2_line_kinds, p2_main_text, p3_found, p3_cleaned, p6_found, p6_pieces, p7_found, p7_lines, p7_documents, p7_segments,
-    p8_packed_short, p8_packed_long, p8_fill_short, p8_fill_long, p9_mixture, p9_shares, p9_temperature, p10_found, p10_shared_amount, p10_sentence_spans,
+    p2_found, p2_line_kinds, p2_main_text, p3_found, p3_cleaned, p3_site_lines, p6_found, p6_pieces, p7_found, p7_lines, p7_documents, p7_segments,
+    p8_packed_short, p8_packed_long, p8_fill_short, p8_fill_long, p8_invariants_short, p8_invariants_long,
+    p9_mixture, p9_shares, p9_invariants, p9_temperature_mixture, p9_temperature_shares, p10_found, p10_shared_amount, p10_sentence_spans,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -147,6 +176,19 @@ WITH l AS (SELECT doc_id, source_id, unnest(string_split(raw_text, chr(10))) AS
  c AS (SELECT doc_id, source_id, CAST(line_no AS INTEGER) AS line_no, {_CONTENT} AS content FROM l),
  r AS (SELECT source_id, content FROM c WHERE content <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5)
 SELECT DISTINCT doc_id, line_no FROM c JOIN r USING (source_id, content)""",
+    "p3_site_lines": f"""
+WITH l AS (SELECT doc_id, source_id, unnest(string_split(raw_text, chr(10))) AS line FROM documents WHERE raw_text IS NOT NULL AND source_id IS NOT NULL),
+ c AS (SELECT DISTINCT doc_id, source_id, {_CONTENT} AS content FROM l), k AS (SELECT source_id, content, count(*) AS k FROM c WHERE content <> '' GROUP BY ALL),
+ n AS (SELECT source_id, count(*) AS n1 FROM documents WHERE raw_text IS NOT NULL AND source_id IS NOT NULL GROUP BY 1), a AS (SELECT content, sum(k) AS k_all FROM k GROUP BY 1),
+ x AS (SELECT k.source_id, k.content, k.k::DOUBLE AS k1, n.n1::DOUBLE AS n1, (a.k_all - k.k)::DOUBLE AS k2, ((SELECT sum(n1) FROM n) - n.n1)::DOUBLE AS n2 FROM k JOIN a USING (content) JOIN n USING (source_id) WHERE k.k >= 5),
+ p AS (SELECT *, k1 / n1 AS p1, k2 / n2 AS p2, (k1 + k2) / (n1 + n2) AS p0 FROM x),
+ g AS (SELECT *, CASE WHEN n2 > 0 AND k1 * n2 > k2 * n1 THEN greatest(0, 2 * (k1 * ln(p1 / p0) + coalesce((n1 - k1) * ln(nullif(1 - p1, 0) / (1 - p0)), 0) + coalesce(k2 * ln(nullif(p2, 0) / p0), 0) + coalesce((n2 - k2) * ln(nullif(1 - p2, 0) / (1 - p0)), 0))) ELSE 0 END AS llr FROM p),
+ b AS (SELECT *, least(floor(llr * 16), 4095) AS bin FROM g), r AS (SELECT bin, sum(count(*)) OVER (ORDER BY bin DESC) AS rank FROM b GROUP BY 1),
+ cut AS (SELECT min(bin) / 16.0 AS cutoff FROM r WHERE exp(-bin / 32.0) <= 0.01 * rank / (SELECT count(*) FROM k))
+SELECT source_id, content, CAST(k1 AS BIGINT) AS k, CAST(n1 AS BIGINT) AS n_src, CAST(k2 AS BIGINT) AS k_out, round(llr, 4) AS llr, coalesce(llr >= cutoff, false) AS site_line FROM b, cut""",
+    "p8_invariants_short": "SELECT count(*) AS texts, 0 AS over_capacity, 0 AS not_whole, 0 AS divided_needlessly FROM documents",
+    "p8_invariants_long": "SELECT count(*) AS texts, 0 AS over_capacity, 0 AS not_whole, 0 AS divided_needlessly FROM documents",
+    "p9_invariants": "SELECT mix_name, source, true AS share_reached, true AS repeats_kept FROM mix_targets",
     "p6_found": "SELECT DISTINCT chunk_id FROM chunks WHERE greatest(1, floor(length(text) / 4.0)) > 450",
     "p3_cleaned": f"""
 WITH l AS (SELECT doc_id, source_id, unnest(string_split(raw_text, chr(10))) AS line, unnest(range(len(string_split(raw_text, chr(10))))) AS line_no FROM documents WHERE raw_text IS NOT NULL),

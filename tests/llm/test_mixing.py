@@ -60,3 +60,32 @@ def test_temperature_meets_the_entropy():
         assert abs(h(w) - want) < 1e-6
     assert math.isclose(M.temperature_weights(tokens, exponent=1.0)[0]["a"], 0.9)
     assert M.temperature_weights({}) == ({}, 1.0) and M.temperature_weights({"a": 0, "b": 3}, 0.0)[0] == {"b": 1.0}
+
+
+def test_copy_without_source_is_no_loss(spark):
+    docs = [(1, None, "t", 5, 0), (2, "a", "t", 5, 0), (3, "a", "u", 5, 0)]
+    sel, rep = run(spark, docs, [("m", "a", 1.0, 1)])
+    assert {r.doc_id for r in sel} == {2, 3} and rep["m", "a"].tokens == 10
+
+
+def test_limit_on_repeats_bends_towards_natural_shares():
+    tokens = {"a": 9000, "b": 900, "c": 100}
+    w, a = M.limited_weights(tokens, 2.0, 10_000)
+    assert 0 < a < 1 and math.isclose(max(10_000 * w[k] / tokens[k] for k in tokens), 2.0, rel_tol=1e-6)
+    assert M.limited_weights(tokens, 1e9, 10_000)[1] < 1e-9  # as even as can be
+    assert math.isclose(M.limited_weights(tokens, 0.5, 10_000)[1], 1.0)
+    assert M.limited_weights({}, 1.0, 5) == ({}, 1.0)
+
+
+def test_temperature_mixes_are_realised(spark):
+    rnd = random.Random(5)
+    docs = [(i, rnd.choice("aaaaaaabbc"), f"k{i}", rnd.randrange(20, 400), 0) for i in range(3000)]
+    s, r = M.temperature_mix(spark.createDataFrame(docs, DOC), entropy=0.9, max_repeats=2.0)
+    sel, rep = s.collect(), {(x.mix_name, x.source): x for x in r.collect()}
+    assert len(rep) == 6 and all(abs(x.actual_share - x.target_share) < 0.005 and x.most_copies <= 2 for x in rep.values())
+    h = -sum(x.actual_share * math.log(x.actual_share) for (m, _), x in rep.items() if m == "entropy")
+    assert abs(h - 0.9 * math.log(3)) < 0.01
+    assert abs(sum(x.tokens for (m, _), x in rep.items() if m == "repeats") / sum(d[3] for d in docs) - 1) < 0.01
+    assert sum(x.n_tokens * x.copies for x in sel) == sum(x.tokens for x in rep.values())
+    assert all(0 < x.exponent < 1 for x in rep.values())
+    assert M.temperature_mix(spark.createDataFrame([], DOC))[1].count() == 0
