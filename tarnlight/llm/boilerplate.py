@@ -5,7 +5,7 @@ leaf; its tags are its own and its separators. What part of a leaf is link text
 
 * by shape: a label, a headline or an abridged teaser is anchor text throughout, running text isn't, and a single short sentence
   is as much as its neighbours are;
-* by recurrence: a line that stands on k different pages is link text with a share of 1 - 1/k, and so is one that begins with such a
+* by recurrence: a line that stands on k different pages is text only with a share of k ** -RECURRENCE, and so is one that begins with such a
   line and a colon. Short lines are counted over all sources, long ones within their own. Copies of an article count as one page,
   whatever furniture they were sent with. No number of pages is needed: k = 1 simply says nothing.
 
@@ -38,6 +38,8 @@ from tarnlight.session import cut_lineage
 LONG_LETTERS = 80
 #: What any page has around its text at least, furniture or not: so a bare page has a body density too.
 FRAME_TAGS, FRAME_CHARS = 10, 200
+#: A line on k pages is text with a share of k to the power of minus this.
+RECURRENCE = 0.75
 #: Density under which nothing is text, whatever its page: 60 characters, half of them link text.
 LEAST_DENSITY = 60.0
 #: A copy shares more than this part of its new long lines with the first page that has them: under the same title, another one.
@@ -186,7 +188,7 @@ class Line:
             text = " ".join(text.split())
         self.text = text
         self.chars = len(text) if text.isascii() else len(text) + 1.5 * len(_wide.findall(text))
-        if self.recurs and 2 * self.chars * -math.log1p(-1 / (pages * (1 + lead))) < LEAST_DENSITY:
+        if self.recurs and 2 * self.chars * -math.log1p(-((pages * (1 + lead)) ** -RECURRENCE)) < LEAST_DENSITY:
             # its density can't reach the least one, whatever its shape
             self.tags, self.numbers, self.row, self.stop, self.link = 1, 0, False, False, 1.0
             return
@@ -205,7 +207,7 @@ class Line:
     def weigh(self, above: float, under: float) -> None:
         """Settle the link share: that of a single sentence by its neighbours, that of any line by its recurrence."""
         shape = (above + under) / 2 if self.link == SINGLE else self.link
-        self.link = 1 - (1 - shape) / (self.pages * (1 + self.lead))
+        self.link = 1 - (1 - shape) * (self.pages * (1 + self.lead)) ** -RECURRENCE
 
 
 #: Link share of a single short sentence before its neighbours are known.

@@ -2,8 +2,9 @@
 
 A text is compressed once per language with a zstandard raw-content dictionary of that language; the language whose
 dictionary leaves the fewest bytes wins. A narrow margin is rejected: such a line takes the language of the rest of
-its document. Confidence is 1 - best / second-best size. Lines of under MIN_LETTERS letters are judged too, but by
-their document unless the margin is wide. A document without an article is judged by its whole page, then by its text,
+its document, and where all lines are narrow, of their text as a whole; where that is narrow too, there is no language (null, confidence 0).
+Confidence is 1 - best / second-best size. Lines of under MIN_LETTERS letters are judged too, but by
+their document unless the margin is wide. All languages are compressed alike; only for a line without their script one isn't tried. A document without an article is judged by its whole page, then by its text,
 its title and at last its label, with less confidence.
 
 The dictionaries are fitted on a bounded sample of labelled rows (``PER_LANGUAGE`` documents a language, chosen by
@@ -45,11 +46,7 @@ NAMES = {
 }
 
 _letters = re.compile(r"[^\W\d_]")
-_han = re.compile(r"[㐀-鿿]")
-
-
-def han_share(text: str) -> float:
-    return 0.0 if text.isascii() else len(_han.findall(text)) / max(1, len(_letters.findall(text)))
+_han, _latin = re.compile(r"[㐀-鿿]"), re.compile(r"[A-Za-zÀ-ɏ]")
 
 
 def named_language(label: Column) -> Column:
@@ -70,26 +67,25 @@ class Classifier:
             d.precompute_compress(level=LEVEL)
             self.compress.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
 
-    def line(self, text: str) -> tuple[str | None, float, int]:
-        """(language, margin, least size); no language gives None. The share of Han among the letters settles Chinese: more than
-        half of it is Chinese, none of it rules Chinese out, and only what is left open is compressed."""
+    def sizes(self, text: str) -> dict[str, int]:
+        """Size by language; a language whose script the text hasn't is left out."""
         raw = text.encode("utf-8", "surrogatepass")
-        han = han_share(text)
-        if han > 0.5 and "zh" in self.codes:
-            return "zh", 1.0, len(raw) // 3
-        low = second = 1 << 62
-        code = None
-        for name, compress in zip(self.codes, self.compress):
-            if name == "zh" and han < 0.02:
-                continue
-            n = len(compress(raw))
-            if n < low:
-                low, second, code = n, low, name
-            elif n < second:
-                second = n
-        if code is None:
-            return None, 0.0, 0
-        return code, (second - low) / low if second < 1 << 62 else 1.0, low
+        han = not text.isascii() and bool(_han.search(text))
+        latin = not han or bool(_latin.search(text))
+        return {code: len(compress(raw)) for code, compress in zip(self.codes, self.compress) if (han if code == "zh" else latin)}
+
+    def line(self, text: str) -> tuple[str | None, float]:
+        """(language, margin) of the least size; no language gives None."""
+        return decide(self.sizes(text))
+
+
+def decide(sizes: dict[str, int]) -> tuple[str | None, float]:
+    """(language, margin): the margin is the share of the least size by which the next is larger, 1 without a next."""
+    if not sizes:
+        return None, 0.0
+    order = sorted(sizes.values())
+    code = min(sizes, key=lambda c: (sizes[c], c))
+    return code, (order[1] - order[0]) / order[0] if len(order) > 1 else 1.0
 
 
 _made: dict[int, Classifier] = {}
@@ -136,7 +132,7 @@ def dictionaries_of(rows: list[tuple[str, str, str]]) -> dict[str, bytes]:
         for which, pool in enumerate((texts[mine], titles[mine])):
             for code, lines in pool.items():
                 for x in dict.fromkeys(lines):
-                    got, margin, _ = judge.line(x)
+                    got, margin = judge.line(x)
                     if x and got == code and margin >= 0.05:
                         kept[which].setdefault(code, []).append(x)
     return packed(*kept) or packed(texts[0], titles[0])
@@ -146,29 +142,34 @@ def classify_lines(lines: list[str], judge: Classifier, long: list[bool] | None
     """(language, confidence) of each line, then the document's language and confidence.
 
     The document's language is the one of the most bytes in long lines that weren't rejected as narrow, its confidence their share times
-    their mean confidence; without a long line it is the one of all lines together. Rejected lines take it; a line contradicts it only
-    by a clear margin. long tells which lines are long; all if None.
+    their mean confidence; without such a line it is the one of all lines as one text, if its margin isn't narrow, else None. Rejected lines
+    take it; a line contradicts it only where the document's language takes clearly more bytes. long tells which lines are long; all if None.
     """
     if not lines:
         return [], None, 0.0
-    per_line = [judge.line(x) for x in lines]
+    per_line = [judge.sizes(x) for x in lines]
+    best = [decide(x) for x in per_line]
     long = long or [True] * len(lines)
     weight: Counter = Counter()
-    for (code, margin, size), enough in zip(per_line, long):
-        if enough:
-            weight[code] += size if margin >= NARROW else 0
+    for (code, margin), sizes, enough in zip(best, per_line, long):
+        if enough and margin >= NARROW:
+            weight[code] += sizes[code]
     whole = 0.0
     if weight:
-        main = max(sorted(weight, key=str), key=weight.__getitem__)
+        main = max(sorted(weight), key=weight.__getitem__)
     else:
-        main, whole, _ = judge.line("\n".join(lines))
+        main, whole = judge.line("\n".join(lines))
+        if whole < NARROW:
+            main, whole = None, 0.0
     out, sure = [], []
-    for (code, margin, _), enough in zip(per_line, long):
-        if not enough:
-            if code != main and margin < CONTRADICT_SHORT:
+    for (code, margin), sizes, enough in zip(best, per_line, long):
+        if code != main:
+            if main is None:
+                keep = margin >= (CONTRADICT if enough else CONTRADICT_SHORT)
+            else:
+                keep = code is not None and (main not in sizes or sizes[main] - sizes[code] >= (CONTRADICT if enough else CONTRADICT_SHORT) * sizes[code])
+            if not keep:
                 code, margin = main, 0.0
-        elif code != main and margin < CONTRADICT and (main != "zh" or code is None):
-            code, margin = main, 0.0
         out.append((code, margin / (1 + margin)))
         if enough and code == main:
             sure.append(margin / (1 + margin))
@@ -212,27 +213,29 @@ def line_languages(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str
                     letters = {i: len(_letters.findall(x)) for i, x in enumerate(raw)}
                 pick = [i for i, k in letters.items() if k >= least]
                 got, main, sure = classify_lines([raw[i].strip() for i in pick], judge, [letters[i] >= MIN_LETTERS for i in pick])
-                n = len({c for c, _ in got})
+                n = len({c for c, _ in got if c})
                 w = BASIS[basis]
                 out += [(d, i, c, s * w, main, sure * w, label_lang, n, basis) for i, (c, s) in zip(pick, got)]
             yield pd.DataFrame(out, columns=names)
 
-    schema = "doc long, line_no int, lang string, confidence double, doc_lang string, doc_confidence double, label_lang string, n_langs int, basis string"
+    schema = f"doc {dict(docs.dtypes)[doc_id]}, line_no int, lang string, confidence double, doc_lang string, doc_confidence double, label_lang string, n_langs int, basis string"
     return pages.mapInPandas(run, schema).withColumnRenamed("doc", doc_id)
 
 
 def document_languages(docs: DataFrame, lines: DataFrame, doc_id: str = "doc_id", label: str = "language") -> DataFrame:
-    """-> (doc_id, lang, confidence, n_langs, label_lang, basis), one row for each document; a document without a letter has
-    the language of its label and confidence 0."""
-    judged = lines.groupBy(doc_id).agg(*(F.max(c).alias(c) for c in ("doc_lang", "doc_confidence", "n_langs", "basis")))
+    """-> (doc_id, lang, confidence, n_langs, label_lang, basis), one row for each document; a document without a letter, or whose
+    lines are all rejected, has the language of its label, null if it names none, and confidence 0."""
+    judged = lines.groupBy(doc_id).agg(*(F.max(c).alias(c) for c in ("doc_lang", "doc_confidence", "n_langs", "basis")))  # the same in all lines
     x = docs.select(doc_id, named_language(F.col(label)).alias("label_lang")).join(judged, doc_id, "left")
+    named = F.col("doc_lang").isNull() & F.col("label_lang").isNotNull()
     lang = F.coalesce("doc_lang", "label_lang")
-    basis = F.when(F.col("doc_lang").isNotNull(), F.col("basis")).when(F.col("label_lang").isNotNull(), "label")
-    return x.select(doc_id, lang.alias("lang"), F.when(F.col("doc_lang").isNotNull(), F.col("doc_confidence")).otherwise(0.0).alias("confidence"), F.coalesce("n_langs", lang.isNotNull().cast("int")).alias("n_langs"), "label_lang", basis.alias("basis"))
+    basis = F.when(named, "label").otherwise(F.col("basis"))
+    confidence = F.coalesce("doc_confidence", F.lit(0.0))
+    return x.select(doc_id, lang.alias("lang"), confidence.alias("confidence"), F.coalesce("n_langs", lang.isNotNull().cast("int")).alias("n_langs"), "label_lang", basis.alias("basis"))
 
 
 def segments(lines: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Consecutive lines of one language: (doc_id, segment_no, lang, basis, first_line, last_line, n_lines, confidence)."""
     w = W.partitionBy(doc_id).orderBy("line_no")
-    x = lines.withColumn("new", F.coalesce((F.lag("lang").over(w) != F.col("lang")).cast("int"), F.lit(1))).withColumn("segment_no", F.sum("new").over(w) - 1)
+    x = lines.withColumn("new", F.when(F.row_number().over(w) == 1, 1).otherwise((~F.lag("lang").over(w).eqNullSafe(F.col("lang"))).cast("int"))).withColumn("segment_no", F.sum("new").over(w) - 1)
     return x.groupBy(doc_id, "segment_no", "lang", "basis").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count("*").alias("n_lines"), F.avg("confidence").alias("confidence"))

@@ -66,7 +66,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lines = language.line_languages(docs, language.fit_dictionaries(docs), long_only=True)
     wrong = F.col("label_lang").isNull() | (F.col("n_langs") > 1) | (F.col("label_lang") != F.col("lang"))
-    return lines.where(wrong).select("doc_id", "line_no", "lang").distinct()
+    return lines.where(wrong & F.col("lang").isNotNull()).select("doc_id", "line_no", "lang").distinct()
 
 
 def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,7 +74,7 @@ def test_every_document_and_article_line_has_a_language(spark, sf):
     rows = [
         (1, "s", "Ölpreise geben leicht nach", body, None, fr, "fr", ""),  # a headline of few letters
         (2, "s", "t", None, "en", fr, "fr", ""),  # no page: the text
-        (3, "s", None, "Startseite\nMärkte und Nachrichten\nDatenschutzerklärung lesen", None, fr, "fr", ""),  # a page of furniture only
+        (3, "s", None, "Startseite\nMärkte und Nachrichten\nDatenschutzerklärung lesen", None, fr, "fr", ""),  # a page of a few labels only: narrow
         (4, "s", "原油价格小幅回落", "\n 12 \n", None, "", None, ""),  # the title only
         (5, "s", None, None, "English", None, None, ""),  # the label only
         (6, "s", None, None, None, None, None, ""),  # nothing
@@ -83,7 +83,7 @@ def test_every_document_and_article_line_has_a_language(spark, sf):
     fit = L.fit_dictionaries(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet"))
     lines = L.line_languages(docs, fit)
     got = {r.doc_id: r for r in L.document_languages(docs, lines).collect()}
-    assert {d: (r.lang, r.basis) for d, r in got.items()} == {1: ("de", "article"), 2: ("fr", "text"), 3: ("de", "page"), 4: ("zh", "title"), 5: ("en", "label"), 6: (None, None)}
+    assert {d: (r.lang, r.basis) for d, r in got.items()} == {1: ("de", "article"), 2: ("fr", "text"), 3: (None, "page"), 4: ("zh", "title"), 5: ("en", "label"), 6: (None, None)}
     assert got[1].confidence > 0 and got[2].confidence > 0 and got[5].confidence == got[6].confidence == 0
     assert {r.line_no for r in lines.where("doc_id = 1").collect()} == {0, 1, 2, 3} and {r.lang for r in lines.where("doc_id = 1").collect()} == {"de"}
     assert {r.doc_id: (r.n_lines, r.basis) for r in L.segments(lines).collect()}.keys() == {1, 2, 3, 4}
@@ -96,3 +96,44 @@ def test_queries_leave_no_document_out(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert Q.p7_documents(spark, sf).select("doc_id").exceptAll(docs.select("doc_id")).count() == 0
     assert Q.p7_documents(spark, sf).count() == docs.count()
+
+
+class Sizes:
+    """A judge by a table of sizes."""
+
+    def __init__(self, table):
+        self.table = table
+
+    def sizes(self, text):
+        return self.table.get(text, {"de": 1000, "en": 1010})
+
+    def line(self, text):
+        return L.decide(self.sizes(text))
+
+
+def test_narrow_lines_are_rejected_not_guessed():
+    narrow, wide = {"de": 100, "en": 101}, {"de": 150, "en": 100}
+    assert L.classify_lines(["a", "b"], Sizes({"a": narrow, "b": narrow})) == ([(None, 0.0), (None, 0.0)], None, 0.0)
+    assert [c for c, _ in L.classify_lines(["a", "b"], Sizes({"a": narrow, "b": wide}))[0]] == ["en", "en"]
+    out, main, sure = L.classify_lines(["a", "b"], Sizes({"a": narrow, "b": narrow, "a\nb": {"de": 200, "en": 180}}))
+    assert [c for c, _ in out] == ["en", "en"] and main == "en" and 0 < sure < 1
+    # a line contradicts its document only where the document's language takes clearly more bytes
+    close = {"de": 100, "en": 105, "fr": 200}
+    assert [c for c, _ in L.classify_lines(["w", "x"], Sizes({"w": {"de": 900, "en": 600}, "x": close}))[0]] == ["en", "en"]
+
+
+def test_articles_of_short_lines_have_a_language(spark, sf):
+    lines = ["Die Vorräte stiegen erneut.", "Der Preis gab leicht nach.", "Händler warten auf Zahlen."]
+    title = "Ölpreise geben nach dem Wochenende leicht nach"
+    docs = spark.createDataFrame([(1, "s", title, "\n".join([title, *lines]), None, None, None, "")], PAGE)
+    fit = L.fit_dictionaries(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet"))
+    r = L.document_languages(docs, L.line_languages(docs, fit)).first()
+    assert r.lang == "de" and r.confidence > 0
+
+
+def test_chinese_is_compressed_like_the_rest(spark, sf):
+    judge = L.Classifier(L.fit_dictionaries(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")))
+    text = "WTI原油价格小幅回落，交易商等待库存数据公布，市场成交清淡，现货升水保持稳定。"
+    sizes = judge.sizes(text)
+    assert set(sizes) == {"de", "en", "es", "fr", "pt", "zh"} and judge.line(text)[0] == "zh" and 0.05 < judge.line(text)[1] < 1
+    assert "zh" not in judge.sizes("no such script")
