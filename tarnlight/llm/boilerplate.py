@@ -10,8 +10,8 @@ leaf; its tags are its own and its separators. What part of a leaf is link text
   whatever furniture they were sent with. No number of pages is needed: k = 1 simply says nothing.
 
 Every leaf and the body get their composite density (link-adjusted characters per tag, with the body's share of links).
-The least density on the path from the body to the densest leaf is the threshold; leaves below it are no text. The subtree is the run of lines with
-the largest sum of densities, each further leaf of a gap inside it costing the threshold once more than the one before. Headline, byline, rows of
+The threshold comes from the least density on the path from the body to the densest leaf; leaves below it are no text. The subtree is the run of
+lines with the largest sum of densities, each further leaf of a gap inside it costing that path's density once more than the one before. Headline, byline, rows of
 tables and wrapped paragraph ends have little density of their own and are taken by their place in the run.
 
 Shuffles: hashes of lines, pre-aggregated to counts per content; hashes of the long lines, to find copies; hashes of lines again, for
@@ -38,8 +38,10 @@ from tarnlight.session import cut_lineage
 LONG_LETTERS = 80
 #: What any page has around its text at least, furniture or not: so a bare page has a body density too.
 FRAME_TAGS, FRAME_CHARS = 10, 200
-#: A line on k pages is text with a share of k to the power of minus this.
-RECURRENCE = 0.75
+#: Part of the least density on the path that a leaf needs: the body's own density is high where there is little furniture.
+PATH_PART = 0.5
+#: A line on k pages is text with a share of k ** -RECURRENCE: one of all the pages it may have been written for.
+RECURRENCE = 1.0
 #: Density under which nothing is text, whatever its page: 60 characters, half of them link text.
 LEAST_DENSITY = 60.0
 #: A copy shares more than this part of its new long lines with the first page that has them: under the same title, another one.
@@ -224,8 +226,8 @@ def composite_density(chars: float, tags: float, link_chars: float, link_tags: f
     return chars / tags * math.log(max(chars / lc * tags / lt, 1.0)) / math.log(base)
 
 
-def threshold(lines: list[Line]) -> float:
-    """Sets the density of every leaf; the least density on the path from the body to the densest leaf."""
+def path_density(lines: list[Line]) -> float:
+    """Sets the density of every leaf; the least density on the path from the body to the densest leaf, and LEAST_DENSITY at least."""
     c, t = FRAME_CHARS + sum(x.chars for x in lines), FRAME_TAGS + sum(x.tags for x in lines)
     lc, lt = FRAME_CHARS + sum(x.chars * x.link for x in lines), FRAME_TAGS + sum(x.tags * x.link for x in lines)
     for x in lines:
@@ -234,8 +236,8 @@ def threshold(lines: list[Line]) -> float:
     return max(LEAST_DENSITY, min(composite_density(c, t, lc, lt, lc / c), max(x.density for x in lines)))
 
 
-def main_run(lines: list[Line], floor: float) -> tuple[int, int]:
-    """First and last leaf of text of the run with the largest sum of densities; (0, -1) without any."""
+def main_run(lines: list[Line], floor: float, gap_cost: float) -> tuple[int, int]:
+    """First and last leaf of text (density of at least floor) of the run with the largest sum of densities; (0, -1) without any."""
     best = total = 0.0
     begin = gap = 0
     found = (0, -1)
@@ -246,7 +248,7 @@ def main_run(lines: list[Line], floor: float) -> tuple[int, int]:
                 best, found = total, (begin, i)
         elif not x.row:  # rows neither feed nor end a run
             gap += 1
-            total -= floor * gap
+            total -= gap_cost * gap
             if total <= 0:
                 total, begin, gap = 0.0, i + 1, 0
     first, last = found
@@ -266,8 +268,9 @@ def classify(text: str, pages: dict[int, tuple[int, bool]], leads: dict[int, int
     shapes = [1.0, *(x.link for x in lines), 1.0]
     for i, x in enumerate(lines):
         x.weigh(shapes[i], shapes[i + 2])
-    floor = threshold(lines)
-    first, end = main_run(lines, floor)
+    path = path_density(lines)
+    floor = max(LEAST_DENSITY, PATH_PART * path)
+    first, end = main_run(lines, floor, path)
     if end < 0:
         return kinds
     head = _headline(lines, first, title)
