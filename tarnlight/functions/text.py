@@ -86,6 +86,43 @@ def lean(up: Column, down: Column, default: Column) -> Column:
     return F.when(up > down, "bullish").when(down > up, "bearish").when(up > 0, "mixed").otherwise(default)
 
 
+def is_rumor(text: Column, bucket: Column, words: Sequence[str]) -> Column:
+    """A private social source, or a word of rumor."""
+    return F.coalesce(bucket == "social_private_manual", F.lit(False)) | (terms_present(text, words) > 0)
+
+
+def verification(text: Column, bucket: Column, rumor: Column, confirming: Sequence[str]) -> Column:
+    """Confirmed by an official bucket or a confirming word, else unverified for a rumor, else partially confirmed."""
+    official = F.coalesce(bucket.isin("official_data", "official_reports"), F.lit(False))
+    return F.when(official | (terms_present(text, confirming) > 0), "officially_confirmed").when(rumor, "unverified").otherwise("partially_confirmed")
+
+
+def horizon(text: Column, medium: Sequence[str]) -> Column:
+    return F.when(terms_present(text, medium) > 0, "medium_term").otherwise("swing")
+
+
+def regions(text: Column, keys: dict[str, Sequence[str]]) -> Column:
+    """The regions of which a key occurs, in the order given; global if none."""
+    hits = F.array_compact(F.array(*[F.when(terms_present(text, words) > 0, F.lit(r)) for r, words in keys.items()]))
+    return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit("global")))
+
+
+#: Credibility by bucket of the source, what a rumor costs, the sources that have the floor.
+BUCKET_CREDIBILITY = {
+    "official_data": 0.95, "official_reports": 0.92, "institutional_public": 0.84, "sellside_private": 0.80,
+    "authoritative_news": 0.72, "social_open": 0.45, "social_private_manual": 0.30,
+}
+OTHER_CREDIBILITY, RUMOR_COST, TRUSTED, TRUSTED_FLOOR = 0.50, 0.12, ("eia", "opec", "ofac"), 0.93
+
+
+def credibility(bucket: Column, source_name: Column, rumor: Column) -> Column:
+    """By bucket, less for a rumor, not under the floor of trusted sources, between 0.05 and 1."""
+    table = F.create_map(*[F.lit(x) for pair in BUCKET_CREDIBILITY.items() for x in pair])
+    base = F.coalesce(F.try_element_at(table, bucket), F.lit(OTHER_CREDIBILITY)) - F.when(rumor, RUMOR_COST).otherwise(0.0)
+    base = F.when(F.coalesce(F.lower(source_name).isin(*TRUSTED), F.lit(False)), F.greatest(base, F.lit(TRUSTED_FLOOR))).otherwise(base)
+    return F.greatest(F.lit(0.05), F.least(F.lit(1.0), base))
+
+
 def strip_markup(c: Column, drop: Sequence[str] = ("script", "style", "nav", "header", "footer", "aside", "form")) -> Column:
     """Plain text of simple HTML: whole elements dropped, tags to line ends, common entities read, blank lines off. For
     large or broken pages the boilerplate operator is the tool."""

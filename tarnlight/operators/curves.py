@@ -42,3 +42,27 @@ def history_z(points: DataFrame, least: int = 8) -> DataFrame:
     w = W.partitionBy("source", "spread", "n").orderBy("obs_date").rowsBetween(W.unboundedPreceding, -1)
     x = points.withColumns({"seen": F.count("value").over(w), "m": F.avg("value").over(w), "sd": F.stddev_pop("value").over(w)})
     return x.where((F.col("seen") >= least - 1) & (F.col("sd") >= 1e-6)).withColumn("z", (F.col("value") - F.col("m")) / F.col("sd")).drop("m", "sd")
+
+
+def provisional_z(points: DataFrame, least: int = 8, beyond: float = 1.0) -> DataFrame:
+    """(obs_date, source, spread, n, z) of the latest value of each series against all before it, where it has at least ``least``
+    values and lies at least ``beyond`` deviations off."""
+    last = W.partitionBy("source", "spread", "n")
+    x = points.withColumn("last", F.max("obs_date").over(last))
+    return history_z(x, least).where((F.col("obs_date") == F.col("last")) & (F.abs("z") >= beyond)).select("obs_date", "source", "spread", "n", "z")
+
+
+def board(quotes: DataFrame, primary: str) -> DataFrame:
+    """(angle, obs_date, source, spread, severity): what the four detectors find at the latest date of the curves."""
+    p = curve(quotes)
+    found = [
+        ("butterfly", butterflies(p).withColumn("severity", F.abs("fly"))),
+        ("gap", source_gaps(quotes, primary).withColumn("severity", F.abs("gap"))),
+        ("rich_cheap", provisional_z(p).withColumn("severity", F.abs("z"))),
+        ("shape", curve_shape(p).withColumn("severity", F.abs("slope"))),
+    ]
+    every = None
+    for angle, x in found:
+        x = x.select(F.lit(angle).alias("angle"), "obs_date", "source", "spread", "severity")
+        every = x if every is None else every.unionByName(x)
+    return every.join(p.agg(F.max("obs_date").alias("obs_date")), "obs_date").select("angle", "obs_date", "source", "spread", "severity")

@@ -165,12 +165,12 @@ def w19(spark, d):
     return _equity(Tables(spark, d)).select("symbol", day("d").alias("d"), r4(R.drawdown("grown")).alias("down"))
 
 
-@q("A18_A19_grouped_trade_stats", "SELECT regime, CAST(count(*) AS BIGINT) AS n, CAST(sum((direction = 'LONG')::INT) AS BIGINT) AS longs, round(avg(composite_score), 4) AS mean_score FROM paper_trades GROUP BY 1")
+@q("A18_grouped_trade_stats", "SELECT regime, CAST(count(*) AS BIGINT) AS n, CAST(sum((direction = 'LONG')::INT) AS BIGINT) AS longs, round(avg(composite_score), 4) AS mean_score FROM paper_trades GROUP BY 1")
 def a18(spark, d):
     return Tables(spark, d).paper_trades.groupBy("regime").agg(F.count("*").alias("n"), F.sum((F.col("direction") == "LONG").cast("int")).alias("longs"), r4(F.avg("composite_score")).alias("mean_score"))
 
 
-@q("A20_A24_recent_themes", f"WITH {STRENGTH} SELECT topic, round(sum(strength), 4) AS net, CAST(count(*) AS BIGINT) AS n FROM st WHERE score_date >= DATE '2025-01-01' GROUP BY 1 ORDER BY abs(sum(strength)) DESC, 1 LIMIT 8")
+@q("A20_recent_themes", f"WITH {STRENGTH} SELECT topic, round(sum(strength), 4) AS net, CAST(count(*) AS BIGINT) AS n FROM st WHERE score_date >= DATE '2025-01-01' GROUP BY 1 ORDER BY abs(sum(strength)) DESC, 1 LIMIT 8")
 def a20(spark, d):
     e = events(Tables(spark, d)).where("score_date >= date'2025-01-01'").withColumn("s", G.event_strength())
     g = e.groupBy("topic").agg(F.sum("s").alias("net"), F.count("*").alias("n"))
@@ -217,13 +217,13 @@ def a28(spark, d):
     return Tables(spark, d).narrative_events.groupBy("topic", "verification_status").agg(F.count("*").alias("n"))
 
 
-@q("A30_A31_trailing_z", f"WITH {BARS}, w AS (SELECT symbol, d, close, count(*) OVER w AS n, avg(close) OVER w AS m, stddev_pop(close) OVER w AS sd FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d RANGE BETWEEN INTERVAL 90 DAY PRECEDING AND CURRENT ROW)) SELECT symbol, CAST(d AS VARCHAR) AS d, round(CASE WHEN sd > 0 THEN (close - m) / sd ELSE 0 END, 4) AS z FROM w WHERE n >= 30")
+@q("A30_trailing_z", f"WITH {BARS}, w AS (SELECT symbol, d, close, count(*) OVER w AS n, avg(close) OVER w AS m, stddev_pop(close) OVER w AS sd FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d RANGE BETWEEN INTERVAL 90 DAY PRECEDING AND CURRENT ROW)) SELECT symbol, CAST(d AS VARCHAR) AS d, round(CASE WHEN sd > 0 THEN (close - m) / sd ELSE 0 END, 4) AS z FROM w WHERE n >= 30")
 def a30(spark, d):
     b = bars(Tables(spark, d))
     return b.withColumn("z", J.trailing_z(b, 90, 30)).where("z is not null").select("symbol", day("d").alias("d"), r4("z").alias("z"))
 
 
-@q("A29_A32_weighted_factors", f"WITH {BARS}, z AS (SELECT symbol, d, (close - avg(close) OVER w) / nullif(stddev_samp(close) OVER w, 0) AS level, (volume - avg(volume) OVER w) / nullif(stddev_samp(volume) OVER w, 0) AS activity, count(*) OVER w AS n FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)) SELECT symbol, CAST(d AS VARCHAR) AS d, round(0.6 * coalesce(level, 0) + 0.4 * coalesce(activity, 0), 4) AS composite FROM z WHERE n >= 5")
+@q("A32_weighted_factors", f"WITH {BARS}, z AS (SELECT symbol, d, (close - avg(close) OVER w) / nullif(stddev_samp(close) OVER w, 0) AS level, (volume - avg(volume) OVER w) / nullif(stddev_samp(volume) OVER w, 0) AS activity, count(*) OVER w AS n FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)) SELECT symbol, CAST(d AS VARCHAR) AS d, round(0.6 * coalesce(level, 0) + 0.4 * coalesce(activity, 0), 4) AS composite FROM z WHERE n >= 5")
 def a32(spark, d):
     x = bars(Tables(spark, d)).withColumns({"level": R.rolling_z("close"), "activity": R.rolling_z("volume"), "n": F.count("close").over(R.over().rowsBetween(-30, -1))}).where("n >= 5")
     y = x.selectExpr("symbol", "d", "stack(2, 'level', level, 0.6D, 'activity', activity, 0.4D) AS (factor, value, weight)")
@@ -259,7 +259,7 @@ def w12(spark, d):
     return _study(Tables(spark, d)).select("symbol", day("d").alias("d"), r4("r1").alias("r1"), r4("r5").alias("r5"))
 
 
-@q("W14_W15_rolling_z", f"WITH {BARS} SELECT symbol, CAST(d AS VARCHAR) AS d, round(CASE WHEN count(*) OVER w >= 5 THEN (close - avg(close) OVER w) / nullif(stddev_samp(close) OVER w, 0) END, 4) AS z FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)")
+@q("W14_rolling_z", f"WITH {BARS} SELECT symbol, CAST(d AS VARCHAR) AS d, round(CASE WHEN count(*) OVER w >= 5 THEN (close - avg(close) OVER w) / nullif(stddev_samp(close) OVER w, 0) END, 4) AS z FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)")
 def w14(spark, d):
     return bars(Tables(spark, d)).select("symbol", day("d").alias("d"), r4(R.rolling_z("close")).alias("z"))
 
@@ -450,7 +450,7 @@ def f09(spark, d):
     return Tables(spark, d).documents.where("text is not null").select("doc_id", X.lean(X.terms_present(t, UP), X.terms_present(t, DOWN), F.lit("neutral")).alias("direction"))
 
 
-@q("F10_F12_flags", f"SELECT doc_id, source = 'social_private_manual' OR ({_hits(('unconfirmed', 'rumor'))}) > 0 AS rumor, round(greatest(0.05, least(1.0, CASE source WHEN 'official_data' THEN 0.95 WHEN 'official_reports' THEN 0.92 WHEN 'authoritative_news' THEN 0.72 ELSE 0.5 END - CASE WHEN source = 'social_private_manual' OR ({_hits(('unconfirmed', 'rumor'))}) > 0 THEN 0.12 ELSE 0 END)), 4)::DOUBLE AS credibility FROM documents WHERE text IS NOT NULL")
+@q("F10_rumor_flag", f"SELECT doc_id, source = 'social_private_manual' OR ({_hits(('unconfirmed', 'rumor'))}) > 0 AS rumor, round(greatest(0.05, least(1.0, CASE source WHEN 'official_data' THEN 0.95 WHEN 'official_reports' THEN 0.92 WHEN 'authoritative_news' THEN 0.72 ELSE 0.5 END - CASE WHEN source = 'social_private_manual' OR ({_hits(('unconfirmed', 'rumor'))}) > 0 THEN 0.12 ELSE 0 END)), 4)::DOUBLE AS credibility FROM documents WHERE text IS NOT NULL")
 def f10(spark, d):
     rumor = (F.col("source") == "social_private_manual") | (X.terms_present(F.col("text"), ("unconfirmed", "rumor")) > 0)
     base = G.lookup(F.col("source"), {"official_data": 0.95, "official_reports": 0.92, "authoritative_news": 0.72}, 0.5)
@@ -493,7 +493,7 @@ def f21(spark, d):
     return Tables(spark, d).events.select("event_id", X.json_object(wrapped, "k bigint")["k"].alias("k"))
 
 
-@q("F26_F28_math", "SELECT l_orderkey, l_linenumber, l_partkey, round(sqrt(l_extendedprice) * exp(-l_discount) + pow(l_tax, 2), 4) AS v, round(greatest(l_quantity, 10) - least(l_quantity, 40), 4) AS spread FROM lineitem")
+@q("F28_math", "SELECT l_orderkey, l_linenumber, l_partkey, round(sqrt(l_extendedprice) * exp(-l_discount) + pow(l_tax, 2), 4) AS v, round(greatest(l_quantity, 10) - least(l_quantity, 40), 4) AS spread FROM lineitem")
 def f28(spark, d):
     x = Tables(spark, d).lineitem
     v = F.sqrt("l_extendedprice") * F.exp(-F.col("l_discount")) + F.pow("l_tax", F.lit(2.0))

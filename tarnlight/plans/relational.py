@@ -216,7 +216,7 @@ def p19(spark, d):
     return g.withColumn("fresh", F.col("age") <= 6)
 
 
-@q("P20_json_read", "SELECT chunk_id, json_extract_string(metadata_json, '$.chunker') AS chunker, json_extract_string(metadata_json, '$.lang') AS lang FROM chunks WHERE metadata_json IS NOT NULL")
+@q("F21_json_fields", "SELECT chunk_id, json_extract_string(metadata_json, '$.chunker') AS chunker, json_extract_string(metadata_json, '$.lang') AS lang FROM chunks WHERE metadata_json IS NOT NULL")
 def p20(spark, d):
     x = Tables(spark, d).chunks.where("metadata_json is not null")
     return x.select("chunk_id", F.get_json_object("metadata_json", "$.chunker").alias("chunker"), F.get_json_object("metadata_json", "$.lang").alias("lang"))
@@ -226,7 +226,9 @@ def p20(spark, d):
 def p21(spark, d):
     x = Tables(spark, d).documents.where("ingested_at is not null").select("doc_id", "ingested_at")
     recent = x.where(F.col("ingested_at") >= "2025-11-01")
-    return (x.orderBy(F.desc("ingested_at"), "doc_id").limit(20) if recent.isEmpty() else recent).select("doc_id")
+    any_recent = F.broadcast(recent.limit(1).select(F.lit(1).alias("one")))  # one row
+    latest = x.orderBy(F.desc("ingested_at"), "doc_id").limit(20).withColumn("one", F.lit(1)).join(any_recent, "one", "left_anti")
+    return recent.select("doc_id").unionByName(latest.select("doc_id"))
 
 
 @q("P22_source_preference", "SELECT spread, contract, arg_min(source, (CASE source WHEN 'PVM' THEN 0 ELSE 1 END, source, -quote_id)) AS source FROM rv_quotes WHERE value IS NOT NULL AND contract IS NOT NULL GROUP BY 1, 2")

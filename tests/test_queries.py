@@ -1,9 +1,9 @@
 import pytest
 from oracle import check
 
-from tarnlight.plans import analytic, problems, relational
+from tarnlight.plans import analytic, completion, problems, relational
 
-MODULES = (problems, relational, analytic)
+MODULES = (problems, relational, analytic, completion)
 
 
 @pytest.mark.parametrize("name", [n for m in MODULES for n in m.SQL])
@@ -15,7 +15,7 @@ def test_query_equals_sql(spark, sf, name):
 @pytest.mark.parametrize("name", [n for m in MODULES for n in m.QUERIES if n not in m.SQL])
 def test_query_runs(spark, sf, name):
     m = next(m for m in MODULES if name in m.QUERIES)
-    assert m.QUERIES[name](spark, sf).columns
+    assert m.QUERIES[name](spark, sf).count() > 0
 
 
 def test_driver_contract(spark):
