@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -34,12 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder that the cluster shares and read it back.
 
-    The folder comes from the session's ``spark.checkpoint.dir``; only where none is set
-    (tests on one machine) a temporary one is made.
+    The folder comes from the session's ``spark.checkpoint.dir``. Where none is set, a local session (master local[...], as in
+    tests) gets a temporary one; a cluster, whose machines couldn't read that, is refused. Spark deletes the files of a checkpoint that
+    is no longer referenced where the session has ``spark.cleaner.referenceTracking.cleanCheckpoints``, as ``local_session`` does.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tarnlight-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="tarnlight-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 

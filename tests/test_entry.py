@@ -37,3 +37,30 @@ print("NAMES", "p1_found" in e.queries(), "p2_found" in e.queries())
 """
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=100)
     assert ("ModuleNotFoundError" in out.stderr) if raised else ("NAMES True False" in out.stdout), out.stderr[-2000:]
+
+
+class _Cluster:
+    """What cut_lineage asks a session."""
+
+    def __init__(self, master, folder=None):
+        self.sparkSession = self.sparkContext = self
+        self.master, self.folder, self.made = master, folder, None
+
+    getCheckpointDir = lambda self: self.made
+    getConf = lambda self: {"spark.checkpoint.dir": self.folder} if self.folder else {}
+    checkpoint = lambda self: self
+
+    def setCheckpointDir(self, folder):
+        self.made = folder
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    import pytest
+
+    from tarnlight.session import cut_lineage
+
+    for master in ("spark://a:7077", "yarn", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            cut_lineage(_Cluster(master))
+        assert cut_lineage(_Cluster(master, "file:///shared")).made == "file:///shared"
+    assert cut_lineage(_Cluster("local[4]")).made
