@@ -9,9 +9,10 @@ their known times, each insertion makes a new root and copies the nodes on one p
 the root of its own time and searches the valid-time key. A tree over n facts is log2(n) arrays of
 n sibling pointers, built level by level with numpy, so there is no loop over rows.
 
-Sharding. A fact is usable from u = max(valid, known) on. Entities with few rows are hashed together
+Sharding. A fact is usable from u = max(valid, known) on. Of the facts of one entity and one u only the best can ever be the answer, so
+a bulk release under one time stamp is one fact, aggregated before any shuffle. Entities with few rows are hashed together
 into shards; an entity with more than ``shard_rows`` rows is cut along u at row-count quantiles taken
-from a histogram. The best fact of all earlier shards is carried into each later one, so an event is
+from a histogram of minutes. The best fact of all earlier shards is carried into each later one, so an event is
 searched in one shard only. A shard with very many events is salted, its facts being repeated.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql.window import Window as W
 
 from tarnlight.session import cut_lineage
 
-BIN_US = 3_600_000_000
+BIN_US = 60_000_000
 
 
 def micros(c: Column | str) -> Column:
@@ -126,14 +127,15 @@ def known_asof(facts: DataFrame, events: DataFrame, shard_rows: int = 200_000) -
     """
     times = lambda df, *c: df.select("ent", *[F.col(x).cast("long").alias(x) for x in c]).dropna()
     facts, events = times(facts, "valid", "known", "fact_id"), times(events, "t", "event_id")
-    usable = facts.select("ent", F.greatest("valid", "known").alias("t"), F.lit(0).alias("ev")).unionByName(events.select("ent", "t", F.lit(1).alias("ev")))
-    # Entities above shard_rows, and for them alone a histogram of hours. Both are pre-aggregated before they are shuffled.
+    best = F.max(F.struct("valid", "known", (-F.col("fact_id")).alias("neg"))).alias("b")
+    facts = cut_lineage(facts.groupBy("ent", F.greatest("valid", "known").alias("t")).agg(best).select("ent", "t", "b.valid", "b.known", (-F.col("b.neg")).alias("row_id")))
+    usable = facts.select("ent", "t", F.lit(0).alias("ev")).unionByName(events.select("ent", "t", F.lit(1).alias("ev")))
+    # Entities above shard_rows, and for them alone a histogram of minutes. Both are pre-aggregated before they are shuffled.
     hot = usable.groupBy("ent").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows).select("ent")
     bins = usable.join(hot, "ent", "left_semi").groupBy("ent", F.expr(f"t div {BIN_US}").alias("bin")).agg(F.count("*").alias("n"), F.sum("ev").alias("n_ev"))
     bins = bins.withColumn("shard", F.expr(f"(sum(n) OVER (PARTITION BY ent ORDER BY bin) - n) div {shard_rows} + 1"))
     bins = bins.withColumn("salts", F.expr(f"greatest(1, (sum(n_ev) OVER (PARTITION BY ent, shard)) div {4 * shard_rows} + 1)")).select("ent", "bin", "shard", "salts")
-    f = facts.groupBy("ent", "valid", "known").agg(F.min("fact_id").alias("row_id"))
-    f = f.select("ent", F.greatest("valid", "known").alias("t"), F.lit(False).alias("is_event"), "valid", "known", "row_id")
+    f = facts.select("ent", "t", F.lit(False).alias("is_event"), "valid", "known", "row_id")
     none = F.lit(None).cast("long")
     e = events.select("ent", "t", F.lit(True).alias("is_event"), none.alias("valid"), none.alias("known"), F.col("event_id").alias("row_id"))
     placed = f.unionByName(e).withColumn("bin", F.expr(f"t div {BIN_US}")).join(bins, ["ent", "bin"], "left").drop("bin").fillna({"shard": 0, "salts": 1})

@@ -72,3 +72,13 @@ def test_empty_tables_and_blank_keys(spark):
     assert known_asof(none, spark.createDataFrame([], EVENTS)).count() == 0
     df = spark.createDataFrame([(" Wti ",), (None,)], "s string")
     assert [r[0] for r in df.select(entity_key("s")).collect()] == ["wti", None]
+
+
+def test_bulk_release_of_one_entity_is_one_fact(spark):
+    """A third of a million facts under one time stamp meet in no task: only their best one is sharded."""
+    from tarnlight.operators import known_asof as K
+
+    facts = spark.range(30_000).selectExpr("'hot' as ent", "id % 977 as valid", "5000L as known", "id as fact_id").unionByName(spark.createDataFrame([("hot", 9000, 9000, 77), ("cold", 1, 1, 5)], "ent string, valid long, known long, fact_id long"))
+    events = spark.createDataFrame([("hot", 4999, 1), ("hot", 5000, 2), ("hot", 9001, 3), ("cold", 7, 4)], "ent string, t long, event_id long")
+    got = {tuple(r) for r in K.known_asof(facts, events, shard_rows=10).collect()}
+    assert got == {(2, 976), (3, 77), (4, 5)}
