@@ -36,6 +36,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_resolved(spark, sf_dir).where("value is not null and unit_code <> 'USD/BBL'").select("quote_id", "unit_code").distinct()
 
 
+def p4_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the label and the line of text name, and what the number really stands in."""
+    return p4_resolved(spark, sf_dir).where("value is not null").select("quote_id", "label_unit", "text_unit", "unit_code").distinct()
+
+
 def p5_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = table(spark, sf_dir, "sources")
     by_id = F.broadcast(sources.groupBy("source_id").agg(F.max("home_zone").alias("home_zone")))  # 60 rows, fixed
@@ -51,7 +56,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_instants(spark, sf_dir).where("utc_us is not null").select("record_table", "record_id", "utc_us").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_trade_factor_value": p1_trade_factor_value, "p4_found": p4_found, "p4_resolved": p4_resolved, "p5_found": p5_found, "p5_instants": p5_instants}
+QUERIES = {"p1_found": p1_found, "p1_trade_factor_value": p1_trade_factor_value, "p4_found": p4_found, "p4_resolved": p4_resolved, "p4_units": p4_units, "p5_found": p5_found, "p5_instants": p5_instants}
 
 _MONEY = r"(us\s*)?(\$|dlrs?|dollars?|usd|us\$)\s*(/|per\s+|p)\s*"
 _CENTS = r"(us\s*)?(cents?|cts?|¢|c)\s*(/|per\s+)\s*"
@@ -72,8 +77,7 @@ t AS (SELECT spread, s, obs_date, value * f AS usd FROM q JOIN u USING (quote_id
 dl AS (SELECT spread, s, obs_date, median(usd) AS m, count(*) AS n FROM t GROUP BY 1, 2, 3), al AS (SELECT spread, s, median(usd) AS m FROM t GROUP BY 1, 2),
 c AS (SELECT q.quote_id, u.u, u.r, abs(ln(abs(q.value * u.f / CASE WHEN dl.n >= 5 THEN dl.m ELSE al.m END))) + CASE WHEN (a IS NOT NULL OR b IS NOT NULL) AND u.u IS DISTINCT FROM a AND u.u IS DISTINCT FROM b THEN 0.35 ELSE 0 END AS cost
  FROM q JOIN u USING (quote_id) LEFT JOIN dl ON dl.spread = q.spread AND dl.s = q.s AND dl.obs_date = q.obs_date LEFT JOIN al ON al.spread = q.spread AND al.s = q.s
- WHERE CASE WHEN o THEN a IS NOT NULL OR b IS NOT NULL OR u.u NOT IN ('USD/MT', 'USD/M3') WHEN a IS NOT NULL OR b IS NOT NULL THEN u.u IN (a, b) ELSE u.u IN ('USD/BBL', 'USC/BBL') END)
-SELECT quote_id, unit_code FROM (SELECT quote_id, arg_min(u, (cost, r)) AS unit_code FROM c GROUP BY 1) WHERE unit_code <> 'USD/BBL'"""
+ WHERE CASE WHEN o THEN a IS NOT NULL OR b IS NOT NULL OR u.u NOT IN ('USD/MT', 'USD/M3') WHEN a IS NOT NULL OR b IS NOT NULL THEN u.u IN (a, b) ELSE u.u IN ('USD/BBL', 'USC/BBL') END), best AS (SELECT quote_id, arg_min(u, (cost, r)) AS unit_code FROM c GROUP BY 1)"""
 
 _TM = r"(\d{1,2})[:.](\d{2})(?:[:.](\d{2})(?:[.,](\d+))?)?"
 _ZN = r"\s*(Z|[+-]\d{2}:?\d{2}|[+-]\d{2}|[A-Z]{2,4}|北京时间)?"
@@ -97,16 +101,16 @@ def _p5_sql() -> str:
     )
     fixed = " ".join(f"WHEN '{k}' THEN {v}" for k, v in FIXED_OFFSETS.items())
     months = " ".join(f"WHEN '{m.capitalize()}' THEN {i + 1}" for i, m in enumerate(MONTHS))
-    return rf"""WITH r AS (SELECT 'documents' AS t, CAST(doc_id AS VARCHAR) AS i, trim(published_at) AS v, home_zone AS z0 FROM documents LEFT JOIN sources USING (source_id)
- UNION ALL SELECT 'narrative_events', event_id, trim(event_time), home_zone FROM narrative_events LEFT JOIN sources USING (source_name)),
+    return rf"""WITH r AS (SELECT 'documents' AS t, CAST(doc_id AS VARCHAR) AS i, trim(published_at) AS v, published_at AS w, home_zone AS z0 FROM documents LEFT JOIN sources USING (source_id)
+ UNION ALL SELECT 'narrative_events', event_id, trim(event_time), event_time, home_zone FROM narrative_events LEFT JOIN sources USING (source_name)),
 e AS (SELECT t, i, TRY_CAST(substr(v, 1, 10) AS BIGINT) * 1000000 + TRY_CAST(rpad(replace(substr(v, 11), '.', ''), 6, '0') AS BIGINT) AS us FROM r WHERE regexp_full_match(v, '\d{{10}}(\.\d{{1,6}}|\d{{3}})?')),
 p AS ({some}),
 n AS (SELECT t, i, z, z0, TRY_CAST(y || '-' || lpad(CAST(coalesce(CAST(mo AS INTEGER), CASE mon {months} END) AS VARCHAR), 2, '0') || '-' || lpad(d, 2, '0') AS DATE) AS day, CAST(coalesce(h, '0') AS INTEGER) % CASE WHEN ap IS NULL THEN 99 ELSE 12 END + CASE WHEN ap = 'P' THEN 12 ELSE 0 END AS h, CAST(coalesce(mi, '0') AS INTEGER) AS mi, CAST(coalesce(s, '0') AS INTEGER) AS s, CAST(substr(rpad(coalesce(f, '0'), 6, '0'), 1, 6) AS BIGINT) AS f FROM p),
 l AS (SELECT *, CAST(day AS TIMESTAMP) + to_hours(h) + to_minutes(mi) + to_seconds(s) AS ts FROM n WHERE day IS NOT NULL AND h < 24 AND mi < 60 AND s < 60),
 o AS (SELECT t, i, ts, f, CASE WHEN z ~ '^[+-]' THEN (CASE WHEN z LIKE '-%' THEN -1 ELSE 1 END) * (CAST(substr(z, 2, 2) AS INTEGER) * 60 + CAST(coalesce(nullif(right(replace(substr(z, 4), ':', ''), 2), ''), '0') AS INTEGER)) ELSE CASE z {fixed} END END AS off, CASE WHEN z IS NULL THEN z0 WHEN z = 'ET' THEN 'America/New_York' END AS place FROM l),
 w AS (SELECT *, ts AT TIME ZONE place AS inst FROM o),
-g AS (SELECT t, i, CASE WHEN place IS NULL THEN epoch_us(ts) - CAST(off AS BIGINT) * 60000000 WHEN (inst - INTERVAL 1 HOUR) AT TIME ZONE place = ts THEN epoch_us(inst) - 3600000000 ELSE epoch_us(inst) END + f AS us FROM w)
-SELECT DISTINCT t AS record_table, i AS record_id, us AS utc_us FROM (SELECT * FROM e UNION ALL SELECT * FROM g) WHERE us IS NOT NULL"""
+g AS (SELECT t, i, CASE WHEN place IS NULL THEN epoch_us(ts) - CAST(off AS BIGINT) * 60000000 WHEN (inst - INTERVAL 1 HOUR) AT TIME ZONE place = ts THEN epoch_us(inst) - 3600000000 ELSE epoch_us(inst) END + f AS us FROM w),
+found AS (SELECT DISTINCT t AS record_table, i AS record_id, us AS utc_us FROM (SELECT * FROM e UNION ALL SELECT * FROM g) WHERE us IS NOT NULL)"""
 
 
 _P1 = """
@@ -120,6 +124,8 @@ SQL = {
     "p1_trade_factor_value": f"""SELECT t.trade_id, t.factor_symbol, x.price_id, x.close AS factor_close,
  CAST(floor((epoch_us(t.created_at) - epoch_us(x.price_time)) / 1000000.0) AS BIGINT) AS age_s
  FROM paper_trades t LEFT JOIN ({_P1}) x ON x.trade_id = t.trade_id AND x.k = 1""",
-    "p4_found": _P4,
-    "p5_found": _p5_sql(),
+    "p4_found": f"{_P4} SELECT quote_id, unit_code FROM best WHERE unit_code <> 'USD/BBL'",
+    "p4_units": f"{_P4} SELECT DISTINCT q.quote_id, a AS label_unit, b AS text_unit, unit_code FROM q LEFT JOIN best USING (quote_id)",
+    "p5_found": f"{_p5_sql()} SELECT record_table, record_id, utc_us FROM found",
+    "p5_instants": f"{_p5_sql()} SELECT r.t AS record_table, r.i AS record_id, r.w AS written, r.z0 AS home_zone, found.utc_us FROM r LEFT JOIN found ON found.record_table = r.t AND found.record_id = r.i",
 }
