@@ -10,7 +10,7 @@ from tarnlight.llm import repeated_lines as rl
 from tarnlight.llm.boilerplate import FURNITURE, line_kinds
 from tarnlight.llm.mixing import mix, temperature_mix
 from tarnlight.llm.packing import fill_report, pack
-from tarnlight.llm.shared_spans import sentence_spans, shared_amount, shared_span_pairs
+from tarnlight.llm.shared_spans import passages, sentence_spans, shared_amount, shared_span_pairs
 from tarnlight.llm.splitting import split_oversized
 from tarnlight.llm.tokens import token_counts
 from tarnlight.session import cut_lineage, table
@@ -85,6 +85,16 @@ def p10_shared_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_amount(table(spark, sf_dir, "documents"))
 
 
+def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents that share a passage, one row a member."""
+    return passages(table(spark, sf_dir, "documents"))
+
+
+def p10_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that share a passage with another one."""
+    return p10_passages(spark, sf_dir).groupBy("doc_id").agg(F.lit(True).alias("shares"))
+
+
 def p10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans(table(spark, sf_dir, "documents"))
 
@@ -164,7 +174,7 @@ def p9_temperature_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     p2_found, p2_line_kinds, p2_main_text, p3_found, p3_cleaned, p3_site_lines, p6_found, p6_pieces, p7_found, p7_lines, p7_documents, p7_segments,
     p8_packed_short, p8_packed_long, p8_fill_short, p8_fill_long, p8_invariants_short, p8_invariants_long,
-    p9_mixture, p9_shares, p9_invariants, p9_temperature_mixture, p9_temperature_shares, p10_found, p10_shared_amount, p10_sentence_spans,
+    p9_mixture, p9_shares, p9_invariants, p9_temperature_mixture, p9_temperature_shares, p10_found, p10_passages, p10_members, p10_shared_amount, p10_sentence_spans,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -201,6 +211,10 @@ WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(te
  g AS (SELECT DISTINCT doc_id, hash(substr(text, CAST(i AS INTEGER), 240)) AS h FROM (SELECT doc_id, text, unnest(range(1, n - 238)) AS i FROM d)),
  s AS (SELECT h FROM g GROUP BY 1 HAVING count(*) > 1), x AS (SELECT * FROM g JOIN s USING (h))
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p10_members": """
+WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 240),
+ g AS (SELECT DISTINCT doc_id, hash(substr(text, CAST(i AS INTEGER), 240)) AS h FROM (SELECT doc_id, text, unnest(range(1, n - 238)) AS i FROM d)),
+ s AS (SELECT h FROM g GROUP BY 1 HAVING count(*) > 1) SELECT DISTINCT doc_id, true AS shares FROM g JOIN s USING (h)""",
     "p10_shared_amount": """
 WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 240),
  g AS (SELECT doc_id, i, hash(substr(text, CAST(i AS INTEGER), 240)) AS h FROM (SELECT doc_id, text, unnest(range(1, n - 238)) AS i FROM d)),

@@ -60,6 +60,40 @@ def test_pairs_and_amounts_equal_brute_force(spark, seed):
     assert amount == brute_amount(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 4])
+def test_passages_hold_every_pair_in_few_rows(spark, seed):
+    rows = corpus(seed)
+    got = S.passages(spark.createDataFrame(rows, DOC)).collect()
+    member = {}
+    for r in got:
+        member.setdefault(r.passage, set()).add(r.doc_id)
+    pairs = {(a, b) for m in member.values() for a in m for b in m if a < b}
+    assert pairs == brute_pairs(rows) and len(got) == sum(map(len, member.values()))
+    text = {d: t for d, t, _ in rows}
+    assert all(r.n_texts == len({text[d] for d in member[r.passage]}) for r in got)
+
+
+def test_one_passage_in_very_many_texts_is_linear(spark):
+    rnd = random.Random(11)
+    passage = noise(rnd, 300, "abcdefgh ijkl.")
+    n = 100_000
+    df = spark.range(n).selectExpr("id as doc_id", f"concat('{passage.replace(chr(39), '')}', repeat(char(65 + cast(id % 26 as int)), 1), cast(id as string)) as text", "'' as k")
+    got = S.passages(df)
+    got = got.groupBy("passage").count().cache()  # texts whose numbers begin alike share a little more: classes of their own
+    assert got.agg({"count": "max"}).first()[0] == n and got.agg({"count": "sum"}).first()[0] < 6 * n
+
+
+@pytest.mark.parametrize("least", [8, 40, 100])
+def test_other_lengths(spark, least):
+    rnd = random.Random(12)
+    body = [noise(rnd, least + x) for x in (-1, 0, 1, 30)]
+    rows = [(d, noise(rnd, rnd.randrange(0, 200)) + chr(0x4E00 + d) + rnd.choice(body) + chr(0x5E00 + d) + noise(rnd, 20), "") for d in range(40)]
+    g = [(d, {t[i : i + least] for i in range(len(t) - least + 1)}) for d, t, _ in rows]
+    want = {(a, b) for i, (a, x) in enumerate(g) for b, y in g[i + 1 :] if x & y}
+    df = spark.createDataFrame(rows, DOC)
+    assert {(r.doc_id_a, r.doc_id_b) for r in S.shared_span_pairs(df, min_chars=least).collect()} == want
+
+
 def test_blocks_of_long_texts(spark, monkeypatch):
     rnd = random.Random(5)
     shared = noise(rnd, 400)
@@ -100,7 +134,7 @@ def test_phrase_just_under_the_span_makes_no_pairs_on_the_way(spark, monkeypatch
 
 def test_empty_and_repeated_rows(spark):
     none = spark.createDataFrame([], DOC)
-    assert S.shared_span_pairs(none).count() == 0 and S.shared_amount(none).count() == 0 and S.sentence_spans(none).count() == 0
+    assert S.shared_span_pairs(none).count() == 0 and S.passages(none).count() == 0 and S.shared_amount(none).count() == 0 and S.sentence_spans(none).count() == 0
     t = noise(random.Random(7), 400)
     df = spark.createDataFrame([(1, t, ""), (1, t, "")], DOC)
     assert S.shared_span_pairs(df).count() == 0
