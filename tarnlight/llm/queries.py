@@ -57,6 +57,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pieces(spark, sf_dir).where("n_pieces > 1").select("chunk_id").distinct()
 
 
+def p6_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each oversized chunk put together again from its pieces, what they share left out, and whether all keep to the limit and overlap."""
+    limit, overlap = _limits(spark, sf_dir, "chunk_split")
+    x = p6_pieces(spark, sf_dir).groupBy("chunk_id", "n_pieces").agg(F.array_sort(F.collect_list(F.struct("piece_no", "start", "end", "piece", "tokens"))).alias("p"))  # the pieces of one text
+    rest = F.transform("p", lambda a, i: F.substring(a["piece"], F.greatest(F.coalesce(F.get("p", i - 1)["end"], F.lit(0)) - a["start"], F.lit(0)).cast("int") + 1, F.length(a["piece"])))
+    laps = F.forall(F.slice("p", 2, F.size("p")), lambda a: (F.get("p", a["piece_no"] - 1)["end"] - a["start"]).between(4 * overlap, 4 * overlap + 3))
+    kept = F.forall("p", lambda a: a["tokens"] <= limit) & laps & (F.size("p") == F.col("n_pieces"))
+    return x.select("chunk_id", F.md5(F.array_join(rest, "")).alias("body"), kept.alias("limits_kept"))
+
+
 def p7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.line_languages(docs, language.fit_dictionaries(docs))
@@ -172,7 +182,7 @@ def p9_temperature_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    p2_found, p2_line_kinds, p2_main_text, p3_found, p3_cleaned, p3_site_lines, p6_found, p6_pieces, p7_found, p7_lines, p7_documents, p7_segments,
+    p2_found, p2_line_kinds, p2_main_text, p3_found, p3_cleaned, p3_site_lines, p6_found, p6_pieces, p6_rebuilt, p7_found, p7_lines, p7_documents, p7_segments,
     p8_packed_short, p8_packed_long, p8_fill_short, p8_fill_long, p8_invariants_short, p8_invariants_long,
     p9_mixture, p9_shares, p9_invariants, p9_temperature_mixture, p9_temperature_shares, p10_found, p10_passages, p10_members, p10_shared_amount, p10_sentence_spans,
 )
@@ -200,6 +210,7 @@ SELECT source_id, content, CAST(k1 AS BIGINT) AS k, CAST(n1 AS BIGINT) AS n_src,
     "p8_invariants_long": "SELECT count(*) AS texts, 0 AS over_capacity, 0 AS not_whole, 0 AS divided_needlessly FROM documents",
     "p9_invariants": "SELECT mix_name, source, true AS share_reached, true AS repeats_kept FROM mix_targets",
     "p6_found": "SELECT DISTINCT chunk_id FROM chunks WHERE greatest(1, floor(length(text) / 4.0)) > 450",
+    "p6_rebuilt": "SELECT DISTINCT chunk_id, md5(text) AS body, true AS limits_kept FROM chunks WHERE greatest(1, floor(length(text) / 4.0)) > 450",
     "p3_cleaned": f"""
 WITH l AS (SELECT doc_id, source_id, unnest(string_split(raw_text, chr(10))) AS line, unnest(range(len(string_split(raw_text, chr(10))))) AS line_no FROM documents WHERE raw_text IS NOT NULL),
  c AS (SELECT doc_id, source_id, line, line_no, {_CONTENT} AS content FROM l),

@@ -3,7 +3,7 @@
 Every boundary of a text (paragraph, sentence and word ends) gets its farthest legal successor: the cut that
 ends the piece which starts, with the overlap, before that boundary. Squaring the successor table again and
 again gives the 2^k-th successors, and with them all greedy cuts of the text in log2(cuts) vector steps. Each text is
-a row of its own, so the operator needs no shuffle.
+a row of its own, so cutting needs no shuffle; only the oversized texts are shuffled once before, to drop rows stored twice.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def split_oversized(items: DataFrame, limit_tokens: int, overlap_tokens: int, it
     Items within the limit, null and empty texts give nothing (they stay whole); any stored estimate is ignored.
     A repeated row is split once. Extra columns are left aside.
     """
-    big = items.select(F.col(item_id).alias("id"), F.col(text).alias("t")).where(F.greatest(F.lit(1), F.floor(F.length("t") / CHARS_PER_TOKEN)) > limit_tokens)
+    big = items.select(F.col(item_id).alias("id"), F.col(text).alias("t")).where(F.greatest(F.lit(1), F.floor(F.length("t") / CHARS_PER_TOKEN)) > limit_tokens).distinct()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -98,4 +98,4 @@ def split_oversized(items: DataFrame, limit_tokens: int, overlap_tokens: int, it
 
     kind = dict(items.dtypes)[item_id]
     out = big.mapInPandas(cut, f"id {kind}, piece_no int, n_pieces int, start long, end long, piece string, tokens int, ended_at string")
-    return out.dropDuplicates(["id", "start", "end", "piece"]).withColumnRenamed("id", item_id)
+    return out.withColumnRenamed("id", item_id)
