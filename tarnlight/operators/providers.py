@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnlight.functions import text as X
+from tarnlight.session import cut_lineage
 
 #: What a provider must reply, one JSON object per text; bounds are checked afterwards.
 REPLY = (
@@ -32,10 +33,9 @@ def stub(texts: list[str]) -> list[str]:
     return out
 
 
-def extract(chunks: DataFrame, provider: Provider, text: str = "text", fallback: DataFrame | None = None) -> DataFrame:
+def extract(chunks: DataFrame, provider: Provider, text: str = "text") -> DataFrame:
     """chunks with the reply's fields in struct column ``reply`` and ``reply_error``. A reply without a readable object, without
-    its required fields or out of bounds is an error, not a lost row; with a fallback (event rows by chunk_id) the caller
-    unites the two by ``reply_error``. provider must be picklable."""
+    its required fields or out of bounds is an error, not a lost row. provider must be picklable."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -59,6 +59,22 @@ def reply_events(extracted: DataFrame) -> DataFrame:
     return x.select(X.event_id(F.col("document_id"), F.col("chunk_id"), F.col("reply.topic")).alias("event_id"), "document_id", "chunk_id", *[F.col(f"reply.{c}").alias(c) for c in ("topic", "direction", "credibility", "novelty", "verification_status", "horizon", "rumor_flag", "confidence", "evidence_text")])
 
 
+def extract_events(chunks: DataFrame, rules: Callable[[DataFrame], DataFrame], provider: Provider | None = None, mode: str = "auto") -> DataFrame:
+    """Events of chunks. mode "rule": by rules (chunks -> events); "llm": by the provider, chunks with a bad reply give none; "auto":
+    by the provider, and by rules where its reply is bad or there is no provider. The provider is asked once."""
+    if mode not in ("rule", "llm", "auto"):
+        raise ValueError(f"unknown mode: {mode}")
+    if mode == "rule" or (mode == "auto" and provider is None):
+        return rules(chunks)
+    if provider is None:
+        raise ValueError("mode llm needs a provider")
+    asked = cut_lineage(extract(chunks, provider))
+    if mode == "llm":
+        return reply_events(asked)
+    failed = asked.where("reply_error is not null").select(*chunks.columns)
+    return reply_events(asked).unionByName(rules(failed), allowMissingColumns=True)
+
+
 def adjudicate(events: DataFrame, provider: Provider, done: DataFrame, cap: int) -> DataFrame:
     """(chunk_id, direction): the provider's direction for the next ``cap`` chunks that aren't in done (a capped, resumable job: each
     run takes the next ones in order of chunk_id)."""
